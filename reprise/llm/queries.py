@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, toxicity, urls
+from . import quality, secrets, simhash, substrings, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove(table(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), width=3, tau=2)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -34,7 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op8_toxicity, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op6_simhash, op8_toxicity, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
