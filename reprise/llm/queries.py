@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, simhash, substrings, toxicity, urls
+from . import decontamination, mixing, quality, secrets, simhash, substrings, tokens, toxicity, urls
 from .common import table
 
 
@@ -22,11 +22,27 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.new_path(spark, "token-ids")
+    tokens.write(table(spark, sf_dir, "documents"), path)
+    return tokens.digests(spark, path)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.copies(docs, mixing.plan(docs, max_repetition=1.5))
+    return mixed.select("doc_id", "source", mixing.tokens_of(F.col("text")).alias("n_tokens"), F.col("__copies").alias("copies"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), width=3, tau=2)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op6_simhash, op8_toxicity, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op4_token_ids, op5_mixing, op6_simhash, op7_decontamination, op8_toxicity, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
