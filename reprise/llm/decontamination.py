@@ -42,26 +42,23 @@ def _slot(w: Column) -> Column:
 
 def windows(words: Column, widths: list[int]) -> Column:
     """array of struct(width, at, hash, slots): the template's hash and that of the slots' pattern of each window."""
+    none = F.lit(0).cast("long")
+
     def of(ws: Column) -> Column:
         hashes = F.transform(ws, lambda w: F.xxhash64(F.when(_slot(w), F.substring(w, 1, 1)).otherwise(w)))
 
-        def of_hashes(hs: Column) -> Column:
-            all_ = []
-            for width in widths:
-
-                def pattern(i: Column, width: int = width) -> Column:
-                    return let(F.slice(ws, i, width), lambda part: F.when(F.exists(part, _slot), F.xxhash64(F.transform(part, lambda w: F.when(_slot(w), F.array_position(part, w)).otherwise(F.lit(0).cast("long"))))).otherwise(F.lit(0).cast("long")))
-
-                def one(i: Column, width: int = width) -> Column:
-                    return F.struct(F.lit(width).alias("width"), i.alias("at"), F.xxhash64(F.slice(hs, i, width)).alias("hash"), pattern(i).alias("slots"))
-
-                def plain(i: Column, width: int = width) -> Column:
-                    return F.struct(F.lit(width).alias("width"), i.alias("at"), F.xxhash64(F.slice(hs, i, width)).alias("hash"), F.lit(0).cast("long").alias("slots"))
+        def pattern(part: Column) -> Column:
+            places = F.transform(part, lambda w: F.when(_slot(w), F.array_position(part, w)).otherwise(none))
+            return F.when(F.exists(part, _slot), F.xxhash64(places)).otherwise(none)
 
+        def of_hashes(hs: Column) -> Column:
+            def cut(width: int) -> Column:
+                row = lambda i, slots: F.struct(F.lit(width).alias("width"), i.alias("at"), F.xxhash64(F.slice(hs, i, width)).alias("hash"), slots.alias("slots"))
                 at = F.sequence(F.lit(1), F.size(ws) - (width - 1))
-                full = F.when(F.exists(ws, _slot), F.transform(at, one)).otherwise(F.transform(at, plain))
-                all_.append(F.when(F.size(ws) >= width, full).otherwise(F.array().cast("array<struct<width:int,at:int,hash:bigint,slots:bigint>>")))
-            return F.concat(*all_)
+                every = F.when(F.exists(ws, _slot), F.transform(at, lambda i: row(i, let(F.slice(ws, i, width), pattern)))).otherwise(F.transform(at, lambda i: row(i, none)))
+                return F.when(F.size(ws) >= width, every).otherwise(F.array().cast("array<struct<width:int,at:int,hash:bigint,slots:bigint>>"))
+
+            return F.concat(*map(cut, widths))
 
         return let(hashes, of_hashes)
 
