@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, secrets, simhash, substrings, tokens, toxicity, urls
+from . import decontamination, lm, mixing, quality, secrets, simhash, substrings, tokens, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove(table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"))
@@ -60,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op4_token_ids, op5_mixing, op6_simhash, op7_decontamination, op8_toxicity, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_substring_dedup, op4_token_ids, op5_mixing, op6_simhash, op7_decontamination, op8_toxicity, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
