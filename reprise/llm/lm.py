@@ -32,7 +32,7 @@ END = "\n"  #: no word has it
 WORDS, CLASSES, SIZE = 1536, 512, 32  #: outcomes of their own, classes for the others, length of vectors
 KNOWN = 250_000
 TAIL = 3  #: bytes of a token that give its class
-NOISE, BATCH, ROUNDS, RATE = 32, 2048, 2, 0.15
+NOISE, BATCH, ROUNDS, RATE = 32, 1024, 1, 0.05
 FLUSH = 1_000_000  #: different tokens that a task counts before it sends them
 
 
@@ -176,7 +176,7 @@ class _Trainer:
 
     def __init__(self, model: Model, unigram: np.ndarray, seed: int):
         self.m = Model(*(x.copy() for x in (model.p1, model.p2, model.q, model.b)))
-        self.squares = [np.full(len(unigram), 1e-2, np.float32) for _ in range(4)]
+        self.squares = [np.full(len(unigram), 1.0, np.float32) for _ in range(4)]
         self.cumulative = np.cumsum(unigram)
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
         self.rng = np.random.default_rng(seed)
@@ -186,12 +186,11 @@ class _Trainer:
         order = np.argsort(at, kind="stable")
         places = at[order]
         first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-        total, rows = np.add.reduceat(slope[order], first, axis=0) / np.float32(BATCH), places[first]
-        squares = self.squares[k]
-        squares[rows] += (total * total).mean(axis=1) * 1e4 if total.ndim > 1 else total * total * 1e4
-        scale = np.float32(RATE * 100) / np.sqrt(squares[rows])
-        target = (self.m.p1, self.m.p2, self.m.q, self.m.b)[k]
-        target[rows] += total * (scale[:, None] if total.ndim > 1 else scale)
+        total, rows = np.add.reduceat(slope[order], first, axis=0), places[first]
+        squares, target = self.squares[k], (self.m.p1, self.m.p2, self.m.q, self.m.b)[k]
+        squares[rows] += total * total if total.ndim == 1 else np.einsum("ij,ij->i", total, total) / SIZE
+        scale = np.float32(RATE) / np.sqrt(squares[rows])
+        target[rows] += total * (scale if total.ndim == 1 else scale[:, None])
 
     def train(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
         m, order = self.m, self.rng.permutation(len(w))
