@@ -36,7 +36,7 @@ END = 2
 SHARD = 1 << 18
 ROUNDS, PER_ROUND, LEAST = 3, 1024, 8  #: passes over a shard, new rules of a pass at most, occurrences of a pair at least
 SLOTS_LOG = 16
-CACHED = 700_000  #: words whose ids a worker remembers
+CACHED = 250_000  #: words whose ids a worker remembers: the first it meets for good, a quarter as many later ones for a while
 #: Places where no token of the byte-level splitter can cross: before a space or line end that a visible character follows, and after such a line end.
 CUT = re.compile(r"(?= [^\s᠎])|(?=\n[^\s᠎])|(?<=\n)(?=[^\s᠎])")
 #: How byte-level tokenizers cut texts into pieces, and the letters that stand for bytes in their vocabularies.
@@ -46,6 +46,26 @@ BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 SCHEMA = "part int, seq long, doc_ids array<long>, n_tokens array<long>, symbols array<long>, base long, rules binary, lengths binary, sequence binary"
 
 
+class _Words(dict):
+    """Ids by word, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.late = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.late.get(word)
+        if got is None:
+            got = self.make(word)
+            if len(self) < CACHED:
+                self[word] = got
+            else:
+                if len(self.late) >= CACHED // 4:
+                    self.late.clear()
+                self.late[word] = got
+        return got
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; the ids of words met before come from memory."""
 
@@ -55,13 +75,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
 
         made = json.loads(self.tokenizer.to_str())
         split = made.get("pre_tokenizer") or {}
         #: whether texts fall into pieces by PATTERN, each of which the model alone turns into ids
         self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and not made["model"].get("dropout")
         self.pieces: dict[str, bytes] = {}
+        self.known = _Words(self.word)
 
     def _model(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin1").translate(BYTE_LETTERS))]).tobytes()
@@ -74,12 +94,11 @@ class Encoder:
             got = self.pieces[piece] = self._model(piece)
         return got
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHED:
-            self.known.clear()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self._model(w) if (w[1:] if w[0] == " " else w).isalpha() else b"".join(map(self._piece, PATTERN.findall(w)))
+    def word(self, w: str) -> bytes:
+        """Ids of a word with the space before it, of a line end, or of any text that no piece crosses."""
+        if (w[1:] if w[:1] == " " else w).isalpha():
+            return self._model(w)
+        return b"".join(map(self._piece, PATTERN.findall(w)))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -90,10 +109,6 @@ class Encoder:
             words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else CUT.split(text)
         else:
             words = CUT.split(text)
-        self.known[""] = b""
-        missing = set(words).difference(self.known)
-        if missing:
-            self._learn(set(words) if len(self.known) + len(missing) > CACHED else missing)
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -240,8 +255,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     ordered.select("doc_id", "text").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), ids (an array) of each document in the files."""
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of a file with the number of ids before each."""
     shards = spark.read.parquet(path)
     total = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     sizes = sorted((r.part, r.seq, r.n) for r in shards.select("part", "seq", total.alias("n")).collect())  # three numbers for each SHARD ids
@@ -250,33 +265,43 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         before.append((part, seq, at))
         at += n
     starts = spark.createDataFrame(before, "part int, seq long, before long")
+    columns = ["doc_ids", "n_tokens", "base", "rules", "sequence", "before"]
+    return shards.join(F.broadcast(starts) if len(before) < 100_000 else starts, ["part", "seq"]).select(*columns)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each shard: doc_ids, where each begins and ends, all ids, ids before the shard."""
+    for b in batches:
+        for r in b.to_pylist():
+            ids = expand(np.frombuffer(r["sequence"], "<u4"), r["base"], np.frombuffer(r["rules"], "<u4").reshape(-1, 2))
+            n = np.array(r["n_tokens"], np.int64)
+            ends = np.cumsum(n)
+            yield r["doc_ids"], ends - n, ends, ids, r["before"]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), ids (an array) of each document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                rules, sequence = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["sequence"], "<u4")
-                ids = expand(sequence, r["base"], rules)
-                ends = np.cumsum(np.array(r["n_tokens"], np.int64))
-                begins = ends - np.array(r["n_tokens"], np.int64)
-                for k in range(0, len(ends), 512):
-                    lo, hi = begins[k], ends[min(k + 512, len(ends)) - 1]
-                    offsets = pa.array(np.append(begins[k : k + 512], hi) - lo, pa.int32())
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids[lo:hi].astype(np.int64)))
-                    yield pa.record_batch([pa.array(r["doc_ids"][k : k + 512], pa.int64()), pa.array(begins[k : k + 512] + r["before"]), lists], ["doc_id", "start", "ids"])
+        for doc_ids, begins, ends, ids, before in _decoded(batches):
+            for k in range(0, len(ends), 512):
+                lo, hi = begins[k], ends[min(k + 512, len(ends)) - 1]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins[k : k + 512], hi) - lo, pa.int32()), pa.array(ids[lo:hi].astype(np.int64)))
+                yield pa.record_batch([pa.array(doc_ids[k : k + 512], pa.int64()), pa.array(begins[k : k + 512] + before), lists], ["doc_id", "start", "ids"])
 
-    return shards.join(F.broadcast(starts) if len(before) < 100_000 else starts, ["part", "seq"]).select("doc_ids", "n_tokens", "base", "rules", "sequence", "before").mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return _shards(spark, path).mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, offsets = b["ids"].values.to_numpy(zero_copy_only=False).astype("<u4"), b["ids"].offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:e].tobytes()) for a, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.record_batch([b["doc_id"], b["start"], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        for doc_ids, begins, ends, ids, before in _decoded(batches):
+            raw = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(begins + before), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _shards(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
