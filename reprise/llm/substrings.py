@@ -167,7 +167,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for at in range(0, len(k), 1 << 18):
                     yield pa.record_batch([pa.array(np.ascontiguousarray(k["h"][at : at + (1 << 18)])), pa.array(np.ascontiguousarray(k["g"][at : at + (1 << 18)])), pa.array(d[at : at + (1 << 18)])], ["h", "g", "doc"])
 
-    wide = with_alone.select("doc", "text", "alone").mapInArrow(level_two, "h long, g int, doc long")
+    # with the columns that the last step needs, so that both read one shuffle of the texts
+    wide = with_alone.select("doc", "doc_id", "text", "alone").mapInArrow(level_two, "h long, g int, doc long")
     firsts = wide.groupBy("h", "g").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list(F.struct("h", "g")).alias("firsts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
