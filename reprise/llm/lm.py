@@ -30,7 +30,7 @@ from .common import checkpoint, texts
 
 END = "\n"  #: no word has it
 WORDS, CLASSES, SIZE = 1536, 512, 32  #: outcomes of their own, classes for the others, length of vectors
-KNOWN = 250_000
+KNOWN = 250_000  #: tokens at most; those of the count where they would become more are left to the join
 TAIL = 3  #: bytes of a token that give its class
 NOISE, BATCH, ROUNDS, RATE = 32, 1024, 1, 0.05
 FLUSH = 1_000_000  #: different tokens that a task counts before it sends them
@@ -95,9 +95,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """counts: token, c, to be read three times. The driver gets KNOWN tokens and the sums of each class."""
+    """counts: token, c, to be read four times. The driver gets KNOWN tokens and the sums of each class."""
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toPandas()
+    # by classes of counts first, so that all tasks together send KNOWN tokens at most
+    grade = F.floor(16 * F.log2("c"))
+    low, many = None, 0
+    for r in sorted(counts.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g):
+        many += r["count"]
+        if many > KNOWN:
+            break
+        low = r.g
+    top = counts.where(grade >= F.lit(low if low is not None else 1 << 30)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     tokens = [t.encode() for t in top["token"]]
     end = END.encode()
     words = [end, *[t for t in tokens[:WORDS] if t != end]][:WORDS]
