@@ -23,7 +23,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove(table(spark, sf_dir, "documents"), window=20)
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

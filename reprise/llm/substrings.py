@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ def _open(words: list[bytes], unique, window: int):
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (an array of the words left), for each text.
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space), for each text.
 
     A word goes if a window of `window` words that covers it also starts earlier: in a smaller doc_id or before it in the
     same text. Rows that repeat a doc_id are not earlier than each other. A null text has no words. window is even.
@@ -190,11 +191,11 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     np.add.at(edges, at[repeat] + window, -1)
                     gone = np.cumsum(edges[:-1]) > 0
                 counts.append((len(words), int(gone.sum())))
-                kept.append([w.decode() for w, x in zip(words, gone.tolist(), strict=True) if not x])
-            yield pa.record_batch([b["doc_id"], pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()), pa.array(kept, pa.list_(pa.string()))], ["doc_id", "n_words", "n_removed", "kept"])
+                kept.append(b" ".join(compress(words, (~gone).tolist()) if gone.any() else words))
+            yield pa.record_batch([b["doc_id"], pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = with_alone.join(firsts, "doc", "left").select("doc_id", "text", "alone", "firsts")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept array<string>")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _longs(column: pa.ListArray, i: int) -> np.ndarray | None:
@@ -210,5 +211,5 @@ def _structs(column: pa.ListArray, i: int) -> np.ndarray:
     return _pairs(h.to_numpy(zero_copy_only=False), g.to_numpy(zero_copy_only=False))
 
 
-def digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
+def digest(kept: str) -> str:
+    return hashlib.sha256(kept.encode()).hexdigest()

@@ -59,7 +59,7 @@ def _removed(rows, width=20):
                 own.add(key)
             for key in own:
                 seen.setdefault(key, place)
-            out.append((d, len(words), len(gone), [w for i, w in enumerate(words) if i not in gone]))
+            out.append((d, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
     return out
 
 
@@ -241,7 +241,7 @@ def test_quality(docs, empty):
 
 
 def test_digest_helpers():
-    assert substrings.digest(["a", "é"]) == hashlib.sha256("a é".encode()).hexdigest()
+    assert substrings.digest("a é") == hashlib.sha256("a é".encode()).hexdigest()
     assert secrets.base_digest([("assign", 0, 3), ("guess", 1, 2)]) == hashlib.sha256(b"assign:0:3").hexdigest()
 
 
