@@ -36,7 +36,7 @@ END = 2
 SHARD = 1 << 18
 ROUNDS, PER_ROUND, LEAST = 3, 1024, 8  #: passes over a shard, new rules of a pass at most, occurrences of a pair at least
 SLOTS_LOG = 16
-CACHED = 250_000  #: words whose ids a worker remembers: the first it meets for good, a quarter as many later ones for a while
+CACHED = 600_000  #: words whose ids a worker remembers: the first it meets for good, a tenth as many later ones for a while
 #: Places where no token of the byte-level splitter can cross: before a space or line end that a visible character follows, and after such a line end.
 CUT = re.compile(r"(?= [^\s᠎])|(?=\n[^\s᠎])|(?<=\n)(?=[^\s᠎])")
 #: How byte-level tokenizers cut texts into pieces, and the letters that stand for bytes in their vocabularies.
@@ -60,7 +60,7 @@ class _Words(dict):
             if len(self) < CACHED:
                 self[word] = got
             else:
-                if len(self.late) >= CACHED // 4:
+                if len(self.late) >= CACHED // 10:
                     self.late.clear()
                 self.late[word] = got
         return got
@@ -80,38 +80,37 @@ class Encoder:
         split = made.get("pre_tokenizer") or {}
         #: whether texts fall into pieces by PATTERN, each of which the model alone turns into ids
         self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and not made["model"].get("dropout")
-        self.pieces: dict[str, bytes] = {}
         self.known = _Words(self.word)
 
     def _model(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin1").translate(BYTE_LETTERS))]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > CACHED // 4:
-                self.pieces.clear()
-            got = self.pieces[piece] = self._model(piece)
-        return got
-
     def word(self, w: str) -> bytes:
         """Ids of a word with the space before it, of a line end, or of any text that no piece crosses."""
         if (w[1:] if w[:1] == " " else w).isalpha():
             return self._model(w)
-        return b"".join(map(self._piece, PATTERN.findall(w)))
+        pieces = PATTERN.findall(w)
+        return b"".join(map(self.known.__getitem__, pieces)) if len(pieces) > 1 else self._model(w) if w else b""
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not self.by_piece or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = text.replace("\n", " ").split(" ")
-        if plain == text.split() and "\u180e" not in text:  # single spaces and line ends between words, and no other white space
+        if self._plain(text):  # single spaces and line ends between words, and no other white space
             words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else CUT.split(text)
         else:
             words = CUT.split(text)
         return b"".join(map(self.known.__getitem__, words))
 
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        if text.isascii():
+            runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            return not runs and text[:1] not in (" ", "\n") and text[-1:] not in (" ", "\n") and not any(c in text for c in "\t\r\v\f\x1c\x1d\x1e\x1f")
+        return text.replace("\n", " ").split(" ") == text.split() and "\u180e" not in text
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
