@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from . import vocab as V
 from .functions import text as T
-from .operators import cluster, cost, rank, rediscovery
+from .operators import cluster, cost, rank, rediscovery, suggest, verdict
 from .sources import adapters as A
+from .sources import records
 
 NOW = "2026-09-03T18:00:00+00:00"
 QUERIES: dict = {}
@@ -339,3 +340,79 @@ def evidence_topk(spark, d):
 @query(_CLUSTERS + " SELECT project, round(sum(usd), 3) AS usd, sum(run_count)::BIGINT AS run_count, count(*) AS clusters FROM cfacts JOIN ccost USING (cluster_id) GROUP BY 1")
 def project_rollup_explode(spark, d):
     return rank.project_rollups(_facts(_members(spark, d)), _cluster_costs(spark, d)).withColumn("usd", _r("usd", 3))
+
+
+# ---- records, procedures and verdicts
+
+
+def _turn_records(spark, d):
+    """Turns as the JSON records of a harness, to be read back."""
+    usage = F.struct("input_tokens", "output_tokens", F.col("cache_read_tokens").alias("cache_read_input_tokens"))
+    message = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"), usage.alias("usage"))
+    line = F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.concat(F.lit("/home/dev/"), "project").alias("cwd"), F.col("ts").alias("timestamp"), "model", message.alias("message")))
+    return records.records(A.turns(spark, d).select("session_key", F.col("ord").cast("long").alias("ord"), line.alias("line")))
+
+
+def _call_records(spark, d):
+    given = F.struct("path", "command")
+    block = F.struct(F.lit("tool_use").alias("type"), "name", given.alias("input"))
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(block).alias("content")).alias("message")))
+    return records.records(A.tool_calls(spark, d).select("session_key", "ord", line.alias("line")))
+
+
+_SAID = r", said AS (SELECT * REPLACE (regexp_replace(text, '^\s+|\s+$', '', 'g') AS text) FROM turns WHERE regexp_matches(text, '\S'))"
+
+
+@query(_SAID + """ SELECT session_key, ord::BIGINT AS ord, role, text, ts, input_tokens, output_tokens, cache_read_tokens,
+  last_value(model IGNORE NULLS) OVER (PARTITION BY session_key ORDER BY ord ROWS UNBOUNDED PRECEDING) AS model FROM said""")
+def record_turns(spark, d):
+    return records.turns(_turn_records(spark, d))
+
+
+@query(_SAID + """ SELECT session_key, min(session_id) AS session_id, min(project) AS project, arg_min(ts, ord) AS started_at, arg_max(ts, ord) AS ended_at, count(*) AS turn_count,
+  0::BIGINT AS malformed, 'ok' AS parse_status FROM said GROUP BY session_key""")
+def record_sessions(spark, d):
+    r = _turn_records(spark, d)
+    return records.sessions(r, records.turns(r))
+
+
+@query(" SELECT session_key, ord, name, path, command FROM tool_calls")
+def record_tool_calls(spark, d):
+    return records.tool_calls(_call_records(spark, d)).select("session_key", "ord", "name", "path", "command")
+
+
+@query(""", keyed AS (SELECT project AS cluster_id, session_key, ord, name, name || '|' || CASE WHEN command IS NOT NULL THEN 'command' WHEN path IS NOT NULL THEN 'path' ELSE '' END AS step FROM tool_calls),
+runs AS (SELECT cluster_id, session_key, count(*) AS calls FROM keyed GROUP BY ALL),
+totals AS (SELECT cluster_id, count(*) AS n, sum(calls) AS total FROM runs GROUP BY 1 HAVING count(*) >= 2 AND sum(calls) >= 3),
+placed AS (SELECT cluster_id, step, min(name) AS name, count(DISTINCT session_key) AS sessions, min(row(-calls, session_key, ord)) AS first FROM keyed JOIN runs USING (cluster_id, session_key) GROUP BY 1, 2),
+kinds AS (SELECT *, CASE WHEN sessions >= greatest(2, (n + 1) // 2) THEN 'common' ELSE 'varied' END AS kind FROM placed JOIN totals USING (cluster_id)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, kind ORDER BY first) AS place FROM kinds)
+SELECT cluster_id, kind, place, step, name, sessions FROM ordered WHERE place <= CASE kind WHEN 'common' THEN 40 ELSE 20 END""")
+def procedure_steps(spark, d):
+    calls = A.tool_calls(spark, d).select(F.col("project").alias("cluster_id"), "session_key", "ord", "name", F.to_json(F.struct("path", "command")).alias("input"))
+    return suggest.procedures(suggest.steps(calls)).select("cluster_id", "kind", F.col("place").cast("long").alias("place"), "step", "name", "sessions")
+
+
+@query()
+def ask_slots(spark, d):
+    asks = _grouped(spark, d).join(A.requests(spark, d), "intent_ord").select("cluster_id", F.col("intent_ord").alias("member"), F.col("raw_text").alias("text"))
+    return suggest.slots(suggest.columns(asks))
+
+
+@query(_CLUSTERS + f""", top AS (SELECT max(turn_variance) AS mv FROM cfacts)
+SELECT cluster_id, CASE WHEN s >= 0.85 THEN '{verdict.STABILITY[0][1]}' WHEN s >= 0.5 THEN '{verdict.STABILITY[1][1]}' ELSE '{verdict.UNSTABLE}' END AS sentence
+FROM (SELECT cluster_id, round(CASE WHEN mv > 0 THEN least(1, greatest(0, 1 - turn_variance / mv)) ELSE 1 END, 6) AS s FROM cfacts, top)""")
+def stability_bands(spark, d):
+    m = _members(spark, d)
+    s = rank.score(_facts(m), _cluster_costs(spark, d), rank.turn_variance(m), NOW)
+    return s.select("cluster_id", verdict.stability_sentence(F.col("stability")).alias("sentence"))
+
+
+@query(_SAID + f""", facts AS (SELECT harness, count(DISTINCT session_key) AS sessions, count_if(length(text) > 2000)::BIGINT AS malformed FROM said GROUP BY 1)
+SELECT harness, sessions, malformed, CASE WHEN harness = 'cursor' THEN '{verdict.NO_HISTORY}' WHEN malformed > 0 THEN '{verdict.PARTIAL}' WHEN sessions < 20 THEN '{verdict.INSUFFICIENT}'
+  WHEN sessions % 2 > 0 THEN '{verdict.REPEATED}' ELSE '{verdict.NULL}' END AS verdict FROM facts""")
+def scan_verdict(spark, d):
+    """A verdict a harness, as if each were a scan: long turns count as malformed lines, an odd number of sessions as a candidate."""
+    t = A.turns(spark, d).where(F.col("text").rlike(r"\S")).groupBy("harness").agg(F.count_distinct("session_key").alias("sessions"), F.count_if(F.length(T.strip(F.col("text"))) > 2000).alias("malformed"))
+    status = F.array(F.when(F.col("harness") == "cursor", "absent").otherwise("found"))
+    return t.withColumn("verdict", verdict.verdict(status, F.col("sessions"), F.lit(20), F.col("sessions") % 2, F.lit(0), F.col("malformed"), F.lit(False), F.lit(False)))
