@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` as a long and ``text`` without nulls."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``doc_id`` as a long and ``text`` without nulls, then the keys."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(keys or []))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,3 +51,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with __k1 and __k2, two hashes of doc_id and text: rows that share both are copies with the same id, or without one."""
+    what = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))]
+    return docs.withColumns({"__k1": F.xxhash64(F.lit(1), *what), "__k2": F.xxhash64(F.lit(2), *what)})
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each root in found (doc_id, __k1, __k2, root: a row a document).
+
+    It is the row of the smallest doc_id, nulls last; of rows that repeat it, the one of the smallest key.
+    """
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k1", "__k2")).alias("x")).select("x.__k1", "x.__k2")
+    kept = with_key(docs).join(chosen, ["__k1", "__k2"], "left_semi")
+    twice = checkpoint(found.groupBy("__k1", "__k2").count().where("count > 1").select("__k1", "__k2").join(chosen, ["__k1", "__k2"], "left_semi"))
+    if not twice.isEmpty():
+        many = kept.join(twice, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+        kept = kept.join(twice, ["__k1", "__k2"], "left_anti").unionByName(many)
+    return kept.drop("__k1", "__k2")

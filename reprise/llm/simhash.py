@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts
+from .common import checkpoint, keep_one, texts, with_key
 from .components import components
 
 BITS = 64
@@ -51,15 +51,16 @@ def fingerprint(text: str, width: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, width: int, keys: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), keys (further columns of longs)."""
+    keys = keys or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in b["text"].to_pylist()], np.uint64)
-            yield pa.record_batch([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b["doc_id"], pa.array(fps.view(np.int64)), *[b[k] for k in keys]], ["doc_id", "fp", *keys])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, keys).mapInArrow(run, "doc_id long, fp long" + "".join(f", {k} long" for k in keys))
 
 
 def _correlations(fps: DataFrame) -> tuple[np.ndarray, int]:
@@ -174,6 +175,13 @@ def links(fps: DataFrame, tau: int) -> DataFrame:
     return cold.unionByName(warm).distinct()
 
 
+def _rooted(fps: DataFrame, tau: int) -> DataFrame:
+    """fp, first (its smallest doc_id), root (the smallest fingerprint that links reach)."""
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(nodes.select("fp"), tau)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, width: int = 5, tau: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach).
 
@@ -181,9 +189,7 @@ def groups(docs: DataFrame, width: int = 5, tau: int = 3) -> DataFrame:
     others. A null doc_id is in a group like others but never its name, unless all of the group are null.
     """
     fps = checkpoint(fingerprints(docs, width))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), tau)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(fps, tau)
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -195,14 +201,8 @@ def hex_of(fp: Column) -> Column:
 def keep_first(docs: DataFrame, width: int = 5, tau: int = 3) -> DataFrame:
     """docs, all columns, with one row of each group: the one of the smallest doc_id.
 
-    Of rows that repeat a doc_id, one stays. Rows with a null doc_id are kept only as the one row of their group.
+    Rows are told apart by doc_id and text, so texts that repeat a doc_id or have none stay in their own groups. Rows
+    with a null doc_id are kept only as the one row of their group.
     """
-    found = checkpoint(groups(docs.select("doc_id", "text"), width, tau))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = docs.withColumn("__key", key).join(chosen.select(key.alias("__key")).distinct(), "__key", "left_semi")
-    twice = chosen.groupBy(key.alias("__key")).count().where("count > 1")
-    if twice.isEmpty():
-        return kept.drop("__key")
-    many = kept.join(twice.select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.join(twice.select("__key"), "__key", "left_anti").unionByName(many).drop("__key")
+    fps = checkpoint(fingerprints(with_key(docs), width, ["__k1", "__k2"]))
+    return keep_one(docs, fps.join(_rooted(fps, tau).select("fp", "root"), "fp"))

@@ -185,6 +185,20 @@ def test_simhash(docs, empty):
     assert simhash.groups(empty).count() == 0
 
 
+def _no_ids(spark):
+    """Different texts with null and repeated ids, two of each text; and a copy of one under an id of its own."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(30)] * 2 + [(7, text(k)) for k in range(30, 40)] * 2 + [(3, text(31)), (8, text(35))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {text(k) for k in range(40)}
+
+
+def test_simhash_keeps_rows_of_groups(spark):
+    d, every = _no_ids(spark)
+    kept = simhash.keep_first(d, width=5, tau=3).collect()
+    assert len(kept) == len(every) and {r.text for r in kept} == every
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [3] + [7] * 9
+
+
 def test_decontamination(spark, docs, empty):
     item = "A train leaves town at 40 km per hour and 40 minutes later Maria waits with 12 apples for everybody in the city"
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "seven plain words make one small item")], "item_id long, text string")
