@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reprise.llm import decontamination, lm, mixing, quality, secrets, simhash, substrings, tokens, toxicity, urls
+from reprise.llm import decontamination, lm, mixing, quality, secrets, shingles, simhash, substrings, tokens, toxicity, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 COPY = " ".join(f"word{i}" for i in range(60))
@@ -199,6 +199,39 @@ def test_simhash_keeps_rows_of_groups(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id) == [3] + [7] * 9
 
 
+@pytest.mark.parametrize("many", [64, 1])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, many):
+    """Copies with words replaced, deleted and added, and a line that many texts share, against all pairs."""
+    monkeypatch.setattr(shingles, "MANY", many)
+    rng = np.random.default_rng(5)
+    rows, line = [], " a line that is in very many of these texts"
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 500, 200)]
+        for _ in range(9):
+            t = list(base)
+            for at in rng.integers(0, 190, rng.integers(0, 9)):
+                t[at : at + rng.integers(0, 3)] = [f"new{rng.integers(0, 10**9)}"]
+            rows.append((len(rows), " ".join(t) + line * (k % 2)))
+    sets = [set(shingles.shingles(t, 5).tolist()) for _, t in rows]
+    similar = lambda a, b: len(a & b) / len(a | b)
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if similar(a, sets[j]) >= 0.8:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    kept = {r.doc_id for r in shingles.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert 12 < len(set(root)) < 100 and kept == set(root)
+
+
+def test_near_duplicates_keep_rows_of_groups(spark, docs, empty):
+    d, every = _no_ids(spark)
+    kept = shingles.keep_first(d).collect()
+    assert len(kept) == len(every) and {r.text for r in kept} == every
+    assert [r.doc_id for r in shingles.keep_first(docs).orderBy("doc_id").collect() if r.doc_id in (1, 3, 4, 5, 6)] == [1, 4]
+    assert shingles.keep_first(docs).columns == docs.columns and shingles.keep_first(empty).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     item = "A train leaves town at 40 km per hour and 40 minutes later Maria waits with 12 apples for everybody in the city"
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "seven plain words make one small item")], "item_id long, text string")
