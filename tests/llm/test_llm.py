@@ -245,6 +245,18 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(d, bench.where("false")).count() == 0
 
 
+def _leaking(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()}
+
+
+def test_decontamination_of_short_items_and_numbers(spark):
+    items = ["What is 12 + 34 * 5 - 7", "Compute 17 + 25 + 38 + 41.", "Who was Marie Curie?", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"]
+    texts = [f"some text, then: {x} and more of it" for x in items] + ["What is 13 + 34 * 5 - 7", "Compute 17 + 25 + 38 + 42.", "who was marie", "15 2 3 4 5 6 7 8 9 10 11 12 14 14 16"]
+    assert _leaking(spark, items, texts) == {(i, i) for i in range(4)}
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(1)
     fine = [" ".join(rng.choice(["river", "stone", "cloud", "garden", "window"], 30)) for _ in range(200)]
