@@ -5,8 +5,10 @@ type. A template is the sequence of words with marked ones reduced to their type
 names has the same template. Windows of a template are joined by hash with those of the benchmark; a window matches if its
 slots are consistent too: equal where the item's are equal, different where they differ.
 
-Windows of the item need a least number of plain words, so that rows of numbers don't match each other. Where slots are too
-many, and in items too short, windows are matched with all values kept.
+Whether a capitalised word is a name can't be told where a sentence or line may begin, and case can be lost. So windows are
+taken in several forms, on both sides (FORMS): names inside a sentence are slots; all capitalised words are; none are.
+Windows of the item need a least number of plain words in a form, so that rows of numbers don't match each other. Where
+numbers are too many even if names count as plain, and in items too short, windows are matched with all values kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ LEAST_PLAIN = 0.5  #: share of a window's words that aren't slots, for a match b
 FEW = 500_000  #: benchmark windows that are broadcast
 NUMBER, NAME, UNIT, INITIAL = "\x01", "\x02", "\x03", "\x04"  #: INITIAL: capitalised where a sentence or line may begin
 #: How marks are read: from, to. Exact keeps all words.
-FORMS = {"inside": (INITIAL, ""), "exact": (NUMBER + NAME + UNIT + INITIAL, "")}
+FORMS = {"inside": (INITIAL, ""), "capitalised": (INITIAL, NAME), "folded": (NAME + INITIAL, ""), "exact": (NUMBER + NAME + UNIT + INITIAL, "")}
 
 # Units that are a slot behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hours minutes seconds days weeks years km/h mph percent dollars euros usd eur".split()
@@ -30,11 +32,11 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hours minu
 
 def canonical(text: Column) -> Column:
     """The words of a text; slots keep their value behind the mark of their type."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
-    t = F.regexp_replace(t, rf"(?<=(?:^|[\x20\x09-\x0D])[\"'(\[“‘«]?)(?=\p{{Lu}}\p{{Ll}})", INITIAL)
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", NAME)
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=(?:^|[\x20\x09-\x0D])[\"'(\[“‘«]?)", INITIAL)
     t = F.lower(t)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    numbers = F.regexp_replace(t, r"(?<![\p{L}\p{N}.,])(?=\p{N})", NUMBER)
+    numbers = F.regexp_replace(t, r"(?=\p{N})(?<![\p{L}\p{N}.,])", NUMBER)
     numbers = F.regexp_replace(numbers, rf"({NUMBER}[\p{{N}}.,]+) ?({units})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.when(t.rlike(r"\p{N}"), numbers).otherwise(t)
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D{NUMBER}{NAME}{UNIT}{INITIAL}]+", "")
@@ -55,16 +57,27 @@ def _hashes(ws: Column) -> Column:
 
 
 def _cuts(ws: Column, widths: list[int], row, kind: str) -> Column:
-    """row(hash, at, width) of each window."""
+    """row(hash, at, width) of each window. Hashes of 1, 2, 4, 8 words are made of each other, those of a width of them."""
+
+    def joined(left: Column, right: Column, n: int) -> Column:
+        return F.zip_with(left, F.slice(right, n + 1, F.greatest(F.size(right), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+
+    def of(powers: list[Column], n: int) -> Column:
+        if 2 * n <= max(widths):
+            return let(joined(powers[-1], powers[-1], n), lambda x: of([*powers, x], 2 * n))
 
-    def of(hs: Column) -> Column:
         def cut(width: int) -> Column:
-            at = F.sequence(F.lit(1), F.size(hs) - (width - 1))
-            return F.when(F.size(hs) >= width, F.transform(at, lambda i: row(F.xxhash64(F.slice(hs, i, width)), i, width))).otherwise(F.array().cast(f"array<{kind}>"))
+            bits = [k for k in reversed(range(len(powers))) if width >> k & 1]
+            out, done = powers[bits[0]], 1 << bits[0]
+            for k in bits[1:]:
+                out, done = joined(out, powers[k], done), done + (1 << k)
+            last = F.size(powers[0]) - (width - 1)
+            part = F.slice(out, F.lit(1), F.greatest(last, F.lit(0)))
+            return part if row is None else F.transform(part, lambda h, i: row(h, i + 1, width))
 
-        return F.concat(*map(cut, widths))
+        return F.concat(*map(cut, widths)) if widths else F.array().cast(f"array<{kind}>")
 
-    return let(_hashes(ws), of)
+    return let(_hashes(ws), lambda hs: of([hs], 1))
 
 
 def templates(words: Column, widths: dict[str, list[int]]) -> Column:
@@ -72,7 +85,7 @@ def templates(words: Column, widths: dict[str, list[int]]) -> Column:
 
     def of(ws: Column) -> Column:
         def cuts(form: str) -> Column:
-            return let(read(ws, form), lambda x: _cuts(x, widths[form], lambda h, i, width: h, "bigint"))
+            return let(read(ws, form), lambda x: _cuts(x, widths[form], None, "bigint"))
 
         found = []
         for form in widths:
@@ -115,7 +128,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     enough = (F.col("plain") >= F.col("width") * LEAST_PLAIN) & (F.col("width") >= SHORTEST)
     exact = F.col("form") == "exact"
     kept = found.where(~exact & enough).select("item_id", "form", "width", "hash", "slots")
-    poor = found.where((F.col("form") == "inside") & ~enough).select("item_id", "width", "at")
+    poor = found.where((F.col("form") == "folded") & ~enough).select("item_id", "width", "at")
     return kept.unionByName(found.where(exact).join(poor, ["item_id", "width", "at"], "left_semi").select(*kept.columns)).distinct()
 
 

@@ -257,6 +257,13 @@ def test_decontamination_of_short_items_and_numbers(spark):
     assert _leaking(spark, items, texts) == {(i, i) for i in range(4)}
 
 
+def test_decontamination_wherever_names_stand(spark):
+    long = "Every morning the baker walks to the market with Maria and then Peter brings seven loaves of bread home for all of the children"
+    items = ["Alice has 12 apples and gives 5 to Bob. How many are left?", "The capital of Ghana is which of these four cities", long]
+    texts = ["Maria has 30 apples and gives 9 to Bob. How many are left?", "quiz night began and The capital of Ghana is which of these four cities", long.lower(), long.replace(" Maria", "\nMaria").replace(" Peter", "\nPeter"), "so the capital of Togo is which of these four cities", "Maria has 30 pears and gives 9 to Bob. How many are left?"]
+    assert _leaking(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 1)}
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(1)
     fine = [" ".join(rng.choice(["river", "stone", "cloud", "garden", "window"], 30)) for _ in range(200)]
