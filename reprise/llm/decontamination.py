@@ -160,6 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without the documents that share a window with the benchmark."""
-    bad = leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    """docs, all columns, without the rows that share a window with the benchmark; rows are told apart by doc_id and text."""
+    keyed = with_key(docs)
+    bad = _found(keyed.select("doc_id", "text", "__k1", "__k2"), benchmark).select("__k1", "__k2").distinct()
+    return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)

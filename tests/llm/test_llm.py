@@ -264,6 +264,14 @@ def test_decontamination_wherever_names_stand(spark):
     assert _leaking(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 1)}
 
 
+def test_decontamination_removes_rows_not_ids(spark):
+    d, every = _no_ids(spark)
+    bad = {t for t in every if t.startswith(("w3x", "w33x"))}  # one of those without id, one of those that share an id
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(sorted(bad))], "item_id long, text string")
+    kept = decontamination.clean(d, bench)
+    assert kept.columns == d.columns and {r.text for r in kept.collect()} == every - bad and kept.count() == d.count() - 4
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(1)
     fine = [" ".join(rng.choice(["river", "stone", "cloud", "garden", "window"], 30)) for _ in range(200)]
