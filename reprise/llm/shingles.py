@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, keep_one, texts, with_key
@@ -25,6 +25,9 @@ from .components import components
 MANY = 64  #: members from which a shingle is common, and pairs a member of a bucket from which it gets a further hub
 COMMON = 200_000  #: common shingles that tasks know, the most frequent first
 ROUNDS = 5  #: of hubs; after them all pairs left are compared
+SAMPLE = 16  #: one of so many sets is looked at for common shingles
+PIECES = 128  #: ranges of hashes whose shingles are counted, for a bound of similarity
+FEW = 500_000  #: keys that are broadcast
 KEYS = ["__k1", "__k2"]
 
 
@@ -51,7 +54,7 @@ def prefix(s: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, least: float, common: np.ndarray) -> DataFrame:
-    """doc_id, keys, set (a hash of the shingle set), n (its size), first (its prefix). docs: with keys."""
+    """doc_id, keys, set (a hash of the shingle set), n (its size), first (its prefix), counts (of shingles, in PIECES). docs: with keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,9 +64,10 @@ def _prefixes(docs: DataFrame, width: int, least: float, common: np.ndarray) ->
             sets = [shingles(t, width) for t in b["text"].to_pylist()]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             firsts = pa.array([prefix(s, shared.value, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([b["doc_id"], *[b[k] for k in KEYS], pa.array(names), pa.array([len(s) for s in sets], pa.int32()), firsts], ["doc_id", *KEYS, "set", "n", "first"])
+            counts = pa.array([np.bincount((s >> np.uint64(64 - PIECES.bit_length() + 1)).astype(np.int64), minlength=PIECES) for s in sets], pa.list_(pa.int32()))
+            yield pa.record_batch([b["doc_id"], *[b[k] for k in KEYS], pa.array(names), pa.array([len(s) for s in sets], pa.int32()), firsts, counts], ["doc_id", *KEYS, "set", "n", "first", "counts"])
 
-    return texts(docs, KEYS).mapInArrow(run, "doc_id long, __k1 long, __k2 long, set long, n int, first array<long>")
+    return texts(docs, KEYS).mapInArrow(run, "doc_id long, __k1 long, __k2 long, set long, n int, first array<long>, counts array<int>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -82,10 +86,18 @@ def _meet(a: str, b: str, least: float):
     return F.least(left(a), left(b)) >= least / (1 + least) * (na + nb) - 1e-9
 
 
-def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is least or more."""
-    one = pairs.join(sets.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
-    both = one.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is least or more. Counts rule out most others, whole sets decide."""
+    counts = found.select("set", "n", "counts").dropDuplicates(["set"])
+    one = pairs.join(counts.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("counts").alias("x")), "a").join(counts.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    maybe = checkpoint(one.where(apart <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
+    need = maybe.select(F.col("a").alias("set")).unionByName(maybe.select(F.col("b").alias("set"))).distinct()
+    where = checkpoint(found.join(need, "set", "left_semi").groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x")).select("set", "x.*"))
+    texts_of = docs.select(*KEYS, "text").join(F.broadcast(where) if where.count() <= FEW else where, KEYS)
+    sets = checkpoint(_sets(texts_of, width).dropDuplicates(["set"]))
+    two = maybe.join(sets.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
+    both = two.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("i") / (F.col("n") - F.col("i")) >= least).select("a", "b")
 
 
@@ -93,20 +105,20 @@ def _edge(a: str, b: str):
     return [F.least(f"{a}.set", f"{b}.set").alias("a"), F.greatest(f"{a}.set", f"{b}.set").alias("b")]
 
 
-def roots(index: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """set, root (the smallest set that it is linked to by pairs of similarity least or more), for sets with a pair.
 
     index: h, set, n, at (place of h in the set's prefix), of shingles h in more than one prefix.
     """
-    left, edges, found = index.withColumn("root", F.col("set")), None, None
+    left, edges, linked = index.withColumn("root", F.col("set")), None, None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
             hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.xxhash64("set", F.lit(k))).alias("x")).select("h", "x.*")
             pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
-            new = checkpoint(_near(pairs, sets, least))
+            new = checkpoint(_near(pairs, found, docs, width, least))
             edges = new if edges is None else edges.unionByName(new)
-            found = checkpoint(components(edges).distinct())
-            rooted = index.join(found.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+            linked = checkpoint(components(edges).distinct())
+            rooted = index.join(linked.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
             # pairs of different components in each bucket: none, few enough to compare, or many
             counts = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
             open_ = checkpoint(counts.where("n * n > own").select("h", (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
@@ -116,26 +128,24 @@ def roots(index: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 continue
         left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
         pairs = left.alias("l").join(left.alias("r"), "h").where((F.col("l.set") < F.col("r.set")) & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
-        new = checkpoint(_near(pairs, sets, least))
+        new = checkpoint(_near(pairs, found, docs, width, least))
         if not new.isEmpty():
-            found = components(edges.unionByName(new)).distinct()
-        return found.select(F.col("node").alias("set"), "root")
+            linked = components(edges.unionByName(new)).distinct()
+        return linked.select(F.col("node").alias("set"), "root")
 
 
 def groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, keys, root: documents have the same root if pairs with a similarity of least or more connect them. docs: with keys."""
     found = checkpoint(_prefixes(docs, width, least, np.array([], np.uint64)))
-    crowd = found.select("set", F.explode("first").alias("h")).distinct().groupBy("h").count().where(F.col("count") > MANY).orderBy(F.desc("count"), "h").limit(COMMON)
+    some = found.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0).select("set", F.explode("first").alias("h")).distinct()
+    crowd = some.groupBy("h").count().where(F.col("count") > max(1, MANY // SAMPLE)).orderBy(F.desc("count"), "h").limit(COMMON)
     common = np.unique(np.array([r.h for r in crowd.collect()], np.int64).view(np.uint64))
     if len(common):
         found = checkpoint(_prefixes(docs, width, least, common))
     nodes = found.select("set", "n", "first").dropDuplicates(["set"])
     index = nodes.select("set", "n", F.posexplode("first").alias("at", "h"))
-    shared = index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    index = checkpoint(index.join(shared, "h", "left_semi").select("h", "set", "n", "at"))
-    one = found.join(index.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x")).select("set", "x.*")
-    sets = checkpoint(_sets(docs.select(*KEYS, "text").join(one, KEYS).dropDuplicates(["set"]), width))
-    near = roots(index, sets, least)
+    index = checkpoint(index.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").select("h", "set", "n", "at"))
+    near = roots(index, found, docs, width, least)
     return found.select("doc_id", *KEYS, "set").join(near, "set", "left").select("doc_id", *KEYS, F.coalesce("root", "set").alias("root"))
 
 
