@@ -70,6 +70,34 @@ def test_substrings(docs, empty):
     assert substrings.remove(empty).count() == 0
 
 
+def test_substrings_of_many_texts_without_ids(spark):
+    """Null and repeated ids: of each text one copy stays whole, and rows equal in both have the same result."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(None, f"{text(k)} tail{j}") for k in range(20) for j in range(3)] + [(5, text(100)), (5, text(100)), (5, text(100) + " x")]
+    got = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0] * 20 + [30] * 40
+    five = sorted((r.n_words, r.n_removed) for r in got if r.doc_id == 5)
+    assert five in ([(30, 0), (30, 0), (31, 30)], [(30, 30), (30, 30), (31, 0)])
+
+
+def test_repeats_until_none_is_left(spark, docs, empty):
+    rng = np.random.default_rng(5)
+    part = " ".join(f"p{i}" for i in range(90))
+    rows = [(1, "a b c " + part), (2, part + " d e"), (3, "q " * 25), (4, " ".join(f"u{i}" for i in rng.integers(0, 10**9, 60)))]
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    want = {}
+    for width in (20, 40, 80):
+        seen = {}
+        for _, t in rows:
+            w = t.split()
+            for i in range(len(w) - width + 1):
+                seen[tuple(w[i : i + width])] = seen.get(tuple(w[i : i + width]), 0) + 1
+        want[width] = sorted(n for n in seen.values() if n > 1)
+    assert {k: sorted(r.n for r in got if r.width == k) for k in {r.width for r in got}} == {k: v for k, v in want.items() if v}
+    assert substrings.repeats(empty).count() == 0
+
+
 def test_lm(docs, empty):
     r = lm.fit_and_score(docs).collect()
     assert len(r) == len(TEXTS)
