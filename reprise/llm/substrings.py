@@ -8,7 +8,8 @@ windows of n candidates share one with probability n*n / 2**97, beside that of t
 
 No stage gathers the occurrences of a window. At each level the first holder of each hash is aggregated with partial
 sums, and one row a hash goes back to that row: the half windows that occur once, then the windows that it is the
-first to have. What a document has beside those occurs earlier. Rows are found again by a hash of doc_id and text, so
+first to have. What a document has beside those occurs earlier. A row whose whole text an earlier row has is known from one
+hash of 128 bits: all its windows occur earlier, so it sends none at level two. Rows are found again by a hash of doc_id and text, so
 many rows of one doc_id, or without one, don't meet in one place.
 """
 
@@ -78,14 +79,18 @@ def _numbers(column: pa.Array, rows: slice) -> np.ndarray:
     return column.slice(rows.start, rows.stop - rows.start).to_numpy()
 
 
+def _flags(column: pa.Array, rows: slice) -> np.ndarray:
+    return column.slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc (the order), row (ROW_BITS bits by which a row is found again, and the order of rows with the same doc), doc_id, text."""
     row = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"), 64 - ROW_BITS)
     return texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), row.alias("row"), "doc_id", "text")
 
 
-def _with_alone(docs: DataFrame, window: int) -> DataFrame:
-    """docs with alone: the half windows that stand for one of the row's windows and occur nowhere else."""
+def _with_alone(docs: DataFrame, window: int, copies: bool) -> DataFrame:
+    """docs with alone (the half windows that stand for one of the row's windows and occur nowhere else) and copy (whether an earlier row has the whole text, if asked for)."""
 
     def level_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,8 +107,18 @@ def _with_alone(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.record_batch([pa.array(k[first]), pa.array(np.where(once, row[first], -1))], ["k", "row"])
 
     halves = docs.select("row", "text").mapInArrow(level_one, "k long, row long")  # row -1: more than one
-    alone = halves.groupBy("k").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1 AND row >= 0").groupBy("row").agg(F.collect_list("k").alias("alone"))
-    return docs.join(alone, "row", "left").select("doc", "row", "doc_id", "text", "alone")
+    alone = halves.groupBy("k").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1 AND row >= 0").select("row", "k")
+    known = alone.unionByName(_copies(docs).select("row", F.lit(None).cast("long").alias("k"))) if copies else alone
+    sides = known.groupBy("row").agg(F.collect_list("k").alias("alone"), F.max(F.col("k").isNull()).alias("copy"))
+    return docs.join(sides, "row", "left").select("doc", "row", "doc_id", "text", "alone", F.coalesce("copy", F.lit(False)).alias("copy"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """row, of the rows whose whole text an earlier row has."""
+    name = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
+    keyed = docs.select("doc", "row", *name).distinct()  # rows equal in doc_id and text are one document
+    first = keyed.groupBy("a", "b").agg(F.min(F.struct("doc", "row")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(first, ["a", "b"]).where(F.struct("doc", "row") != F.col("x")).select("row")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -115,13 +130,14 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window % 2 or window < 2:
         raise ValueError("window must be even")
-    with_alone = _with_alone(_keyed(docs), window)
+    with_alone = _with_alone(_keyed(docs), window, True)
 
     def level_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for words in chunks(b["text"]):
                 w = _Windows(words, window)
                 at = w.candidates(_flat(b["alone"], words.rows)[0])
+                at = at[~_flags(b["copy"], words.rows)[words.text_of()[at]]]
                 if not len(at):
                     continue
                 h, g = w.names(at)
@@ -142,7 +158,9 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for words in chunks(b["text"]):
                 w = _Windows(words, window)
                 at = w.candidates(_flat(b["alone"], words.rows)[0])
-                gone = np.zeros(len(words), bool)
+                copy = _flags(b["copy"], words.rows)
+                gone = copy[words.text_of()] & np.repeat(np.diff(words.first) >= window, np.diff(words.first))
+                at = at[~copy[words.text_of()[at]]]
                 if len(at):
                     salt = mix(np.arange(1, len(words.first), dtype=np.uint64)).view(np.int64)  # of each text
                     name = w.names(at)[0] ^ salt[words.text_of()[at]]
@@ -150,7 +168,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     _, first, which = np.unique(name, return_index=True, return_inverse=True)
                     again = at[(first[which] != np.arange(len(at))) | ~np.isin(name, own ^ salt[of])]  # earlier in this text, or in another
                     edges = np.bincount(again, minlength=len(words) + 1) - np.bincount(again + window, minlength=len(words) + 1)
-                    gone = np.cumsum(edges[:-1]) > 0
+                    gone |= np.cumsum(edges[:-1]) > 0
                 sums = np.concatenate([[0], np.cumsum(gone)])
                 removed = sums[words.first[1:]] - sums[words.first[:-1]]
                 kept = []
@@ -160,7 +178,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ids = b["doc_id"].slice(words.rows.start, words.rows.stop - words.rows.start)
                 yield pa.record_batch([ids, pa.array(np.diff(words.first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = with_alone.join(firsts, "row", "left").select("doc", "row", "doc_id", "text", "alone", "firsts")
+    joined = with_alone.join(firsts, "row", "left").select("doc", "row", "doc_id", "text", "alone", "copy", "firsts")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -170,7 +188,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Each level keeps the places whose two halves survived the level before, and ends when none is left; a place is a row and
     the number of its first word, so a level holds no more rows than the one before. Null and empty texts have no windows.
     """
-    with_alone = checkpoint(_with_alone(_keyed(docs), window))
+    with_alone = checkpoint(_with_alone(_keyed(docs), window, False))
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
