@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK = 1 << 22  #: bytes of texts that are looked at together; a longer text is a chunk of its own
+CHUNK = 1 << 20  #: bytes of texts that are looked at together; a longer text is a chunk of its own
 PIECE = 1 << 20  #: bytes whose words are hashed together
 MULTIPLIER = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,6 +58,12 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+    def sums(self) -> np.ndarray:
+        """Sum of the bytes of each word, and its length above that: a check of the hash."""
+        total = np.zeros(len(self.data) + 1, np.uint32)
+        np.cumsum(self.data, dtype=np.uint32, out=total[1:])
+        return ((total[self.ends] - total[self.starts]) ^ ((self.ends - self.starts).astype(np.uint32) << np.uint32(11))).astype(np.uint64)
+
     def hashes(self) -> np.ndarray:
         import xxhash
 
@@ -91,15 +97,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, rows: slice) -> Words:
     return Words(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(column: pa.Array) -> Iterator[Words]:
-    """The words of a column of texts without nulls, some rows at a time."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Words]:
+    """The words of a column of texts without nulls, rows of size bytes at a time."""
     column = column.cast(pa.large_string())
     _, where, raw = column.buffers()
     offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield words_of(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], slice(at, to))
         at = to
 

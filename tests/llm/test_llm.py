@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,13 +132,40 @@ def test_repair_round_trip():
     assert len(symbols) < len(ids) and ends.sum() == 4
     assert (tokens.expand(symbols, base, rules) == ids).all()
     piece = symbols[np.flatnonzero(ends)[1] + 1 : np.flatnonzero(ends)[2] + 1]
-    assert (tokens.expand(piece, base, rules) == ids[12:701]).all()
+    assert (tokens.expand(piece, base, rules) == ids[12:701]).all() and (tokens.unfold(piece, base, rules) == ids[12:701]).all()
+    pairs, inside = {}, ~ends[:-1]
+    for a, b in zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist()):
+        pairs[a, b] = pairs.get((a, b), 0) + (a != b)
+    assert max(pairs.values()) < tokens.LEAST  # replaced until no pair is frequent
+    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]).tolist()
+    shard = dict(symbols=np.diff(np.flatnonzero(ends), prepend=-1).tolist(), n_tokens=np.diff([*starts, 5000]).tolist(), base=base)
+    shard |= dict(sequence=symbols.astype("<u4").tobytes(), rules=rules.astype("<u4").tobytes(), lengths=tokens.expansion_lengths(base, rules).astype("<u4").tobytes())
+    for k, low, high in ((0, 0, 5), (2, 100, 130), (3, 4000, 9999), (3, 17, 18), (1, 0, None)):
+        assert (tokens.part_of(shard, k, low, high) == ids[starts[k] :][: shard["n_tokens"][k]][low:high]).all()
+
+
+def test_tokens():
+    coder = tokens.encoder(tokens._default_path())
+    plain = ["a\nb", "it's 'the q. x,y z!? é, №5 ²3 42nd «q» “r” e\u0301t", "a b\nc d", "a\0b c", "don't we'll I'd 's", "日本 語。 \u200bx", COPY, "a", "Straße ÀÉ ı İ"]
+    odd = ["a  b", "\n\nfoo  bar\n", " x", "it's  'the\t\tq", "a \n b", "a\u00a0b c", "a b\u00a0", "", " ", "<|endoftext|> hi", "é è\u2003x  y", "\r\n a", "a\x1cb c", "x\u3000y", "a\u0085b", "a\u2028b c", "b "]
+    every = [*plain, *odd, *plain, " ".join(plain), "\n".join(odd)]
+    for got, t in zip(coder.encode(pa.array(["left out", *every]).slice(1)), every, strict=True):
+        assert got.tolist() == [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_encoder_starts_over(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 40)
+    coder = tokens.Encoder(tokens._default_path())
+    every = [" ".join(f"w{k}x{i}" for i in range(9)) + ", a b." for k in range(12)] * 2
+    for _ in range(3):
+        for got, t in zip(coder.encode(pa.array(every[:3])), every[:3], strict=True):
+            assert got.tolist() == [*coder.whole(t).tolist(), 2]
+        for k, t in enumerate(every):
+            assert next(coder.encode(pa.array([t]))).tolist() == [*coder.whole(t).tolist(), 2], k
 
 
-def test_tokens(spark, docs, empty, tmp_path):
+def test_token_files(spark, docs, empty, tmp_path):
     coder = tokens.encoder(tokens._default_path())
-    for t in ["a  b", "\n\nfoo  bar\n", " x", "it's  'the\t\tq", "a \n b", "a\u00a0b c", "", "<|endoftext|> hi", "é è\u2003x  y", "\r\n a", "a\0b c", COPY]:
-        assert coder.encode(t) == np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
     for k, df in enumerate((docs, empty)):
         path = f"file://{tmp_path}/{k}"
         tokens.write(df, path)
@@ -149,7 +177,13 @@ def test_tokens(spark, docs, empty, tmp_path):
             if r.doc_id in (1, 2, 4, 9):
                 want = np.array([*coder.tokenizer.encode(dict(TEXTS)[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
                 assert (r.n_tokens, r.ids_crc32) == (len(want) // 4, zlib.crc32(want))
-    assert spark.createDataFrame([(1,)], "x int").join(tokens.read(spark, f"file://{tmp_path}/0").where("doc_id = 7")).count() == 2
+    path = f"file://{tmp_path}/0"
+    every = {(r.doc_id, r.start): r.ids for r in tokens.read(spark, path).collect()}
+    assert len(every) == len(TEXTS) and sum(d == 7 for d, _ in every) == 2
+    for low, high in ((0, None), (2, 9), (5, 100_000), (3, 3)):
+        for r in tokens.lookup(spark, path, [2, 7, 9], low, high).collect():
+            assert r.ids == every[r.doc_id, r.start][low:high]
+    assert tokens.lookup(spark, path, [2, 7, 9, 12345]).count() == 4 and tokens.lookup(spark, path, [12345]).count() == 0
 
 
 def test_mixing(spark, empty):
