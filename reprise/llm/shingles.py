@@ -19,31 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_one, texts, with_key
+from .common import checkpoint, texts
 from .components import components
+from .simhash import majority, shingle_hashes
 
 MANY = 64  #: members from which a shingle is common, and pairs a member of a bucket from which it gets a further hub
 COMMON = 200_000  #: common shingles that tasks know, the most frequent first
 ROUNDS = 5  #: of hubs; after them all pairs left are compared
-SAMPLE = 16  #: one of so many sets is looked at for common shingles
-PIECES = 128  #: ranges of hashes whose shingles are counted, for a bound of similarity
+PIECES = 64  #: ranges of hashes whose shingles are counted, for a bound of similarity
 FEW = 500_000  #: keys that are broadcast
 KEYS = ["__k1", "__k2"]
 
 
-def shingles(text: str, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of the text's different shingles, in order; a text of fewer words is one shingle."""
-    import xxhash
-
-    words, hashed = text.encode("utf-8", "replace").lower().split(), xxhash.xxh64_intdigest
-    n = len(words) - width + 1
-    joined = b" ".join(words)
-    if n <= 1:
-        return np.array([hashed(joined, 42)], np.uint64)
-    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-    return np.unique(np.fromiter((hashed(joined[a:e], 42) for a, e in zip(starts[:n].tolist(), (starts[width:] - 1).tolist(), strict=True)), np.uint64, n))
-
-
 def prefix(s: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """The first shingles of s of which a set that is near enough has one; common (in order) come last."""
     size = len(s) - math.ceil(least * len(s) - 1e-9) + 1
@@ -54,20 +41,42 @@ def prefix(s: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, least: float, common: np.ndarray) -> DataFrame:
-    """doc_id, keys, set (a hash of the shingle set), n (its size), first (its prefix), counts (of shingles, in PIECES). docs: with keys."""
+    """doc_id, keys, fp (the fingerprint), set (a hash of the shingle set), n (its size), first (its prefix), counts (of shingles, in PIECES). docs: with keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            sets = [shingles(t, width) for t in b["text"].to_pylist()]
+            every = [shingle_hashes(t, width) for t in b["text"].to_pylist()]
+            fps = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             firsts = pa.array([prefix(s, shared.value, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
             counts = pa.array([np.bincount((s >> np.uint64(64 - PIECES.bit_length() + 1)).astype(np.int64), minlength=PIECES) for s in sets], pa.list_(pa.int32()))
-            yield pa.record_batch([b["doc_id"], *[b[k] for k in KEYS], pa.array(names), pa.array([len(s) for s in sets], pa.int32()), firsts, counts], ["doc_id", *KEYS, "set", "n", "first", "counts"])
+            columns = [b["doc_id"], *[b[k] for k in KEYS], pa.array(fps), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), firsts, counts]
+            yield pa.record_batch(columns, ["doc_id", *KEYS, "fp", "set", "n", "first", "counts"])
+
+    return texts(docs, KEYS).mapInArrow(run, "doc_id long, __k1 long, __k2 long, fp long, set long, n int, first array<long>, counts array<int>")
 
-    return texts(docs, KEYS).mapInArrow(run, "doc_id long, __k1 long, __k2 long, set long, n int, first array<long>, counts array<int>")
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows. df: checkpointed."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def sets(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """What :func:`_prefixes` returns, with common shingles last. They are counted in the prefixes of all documents; only those that have some are looked at again."""
+    found = checkpoint(_prefixes(docs, width, least, np.array([], np.uint64)))
+    counts = found.select("set", "first").dropDuplicates(["set"]).select(F.explode("first").alias("h")).groupBy("h").count()
+    crowd = checkpoint(counts.where(F.col("count") > MANY).orderBy(F.desc("count"), "h").limit(COMMON).select("h"))
+    common = np.unique(np.array([r.h for r in crowd.collect()], np.int64).view(np.uint64))
+    if not len(common):
+        return found
+    again = checkpoint(found.select(*KEYS, F.explode("first").alias("h")).join(F.broadcast(crowd), "h", "left_semi").select(*KEYS).distinct())
+    few = _few(again)
+    new = _prefixes(docs.join(few, KEYS, "left_semi"), width, least, common)
+    return checkpoint(found.join(few, KEYS, "left_anti").unionByName(new))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -75,7 +84,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b["set"], pa.array([shingles(t, width).view(np.int64) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], ["set", "all"])
+            yield pa.record_batch([b["set"], pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], ["set", "all"])
 
     return docs.select("set", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "set long, all array<long>")
 
@@ -87,68 +96,70 @@ def _meet(a: str, b: str, least: float):
 
 
 def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is least or more. Counts rule out most others, whole sets decide."""
-    counts = found.select("set", "n", "counts").dropDuplicates(["set"])
-    one = pairs.join(counts.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("counts").alias("x")), "a").join(counts.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("y")), "b")
+    """The pairs (a, b) of sets whose similarity is least or more. Counts rule out most others, whole sets decide. pairs: checkpointed."""
+    need = checkpoint(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct())
+    known = found.join(_few(need), "set", "left_semi").select("set", "n", "counts", *KEYS).dropDuplicates(["set"])
+    known = checkpoint(known)
+    side = lambda c, n, x: known.select(F.col("set").alias(c), F.col("n").alias(n), F.col("counts").alias(x))
+    one = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
     maybe = checkpoint(one.where(apart <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
-    need = maybe.select(F.col("a").alias("set")).unionByName(maybe.select(F.col("b").alias("set"))).distinct()
-    where = checkpoint(found.join(need, "set", "left_semi").groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x")).select("set", "x.*"))
-    texts_of = docs.select(*KEYS, "text").join(F.broadcast(where) if where.count() <= FEW else where, KEYS)
-    sets = checkpoint(_sets(texts_of, width).dropDuplicates(["set"]))
-    two = maybe.join(sets.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
+    open_ = maybe.select(F.col("a").alias("set")).unionByName(maybe.select(F.col("b").alias("set"))).distinct()
+    where = checkpoint(known.select("set", *KEYS).join(open_, "set", "left_semi"))
+    whole = checkpoint(_sets(docs.select(*KEYS, "text").join(_few(where), KEYS), width).dropDuplicates(["set"]))
+    two = maybe.join(whole.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(whole.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
     both = two.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return both.where(F.col("i") / (F.col("n") - F.col("i")) >= least).select("a", "b")
+    return both.where((F.col("n") == 0) | (F.col("i") / F.greatest(F.col("n") - F.col("i"), F.lit(1)) >= least)).select("a", "b")
 
 
 def _edge(a: str, b: str):
     return [F.least(f"{a}.set", f"{b}.set").alias("a"), F.greatest(f"{a}.set", f"{b}.set").alias("b")]
 
 
-def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float, known: DataFrame) -> DataFrame:
     """set, root (the smallest set that it is linked to by pairs of similarity least or more), for sets with a pair.
 
-    index: h, set, n, at (place of h in the set's prefix), of shingles h in more than one prefix.
+    index: h, set, n, at (place of h in the set's prefix), of shingles h in more than one prefix. known: pairs that are near.
     """
-    left, edges, linked = index.withColumn("root", F.col("set")), None, None
-    for k in range(ROUNDS + 1):
-        if k < ROUNDS:
-            hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.xxhash64("set", F.lit(k))).alias("x")).select("h", "x.*")
-            pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
-            new = checkpoint(_near(pairs, found, docs, width, least))
-            edges = new if edges is None else edges.unionByName(new)
-            linked = checkpoint(components(edges).distinct())
-            rooted = index.join(linked.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-            # pairs of different components in each bucket: none, few enough to compare, or many
-            counts = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-            open_ = checkpoint(counts.where("n * n > own").select("h", (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
-            crowded = open_.where("crowded").select("h")
-            if k + 1 < ROUNDS and not crowded.isEmpty():
-                left = checkpoint(rooted.join(crowded, "h", "left_semi").select("h", "set", "n", "at", "root"))
-                continue
-        left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
-        pairs = left.alias("l").join(left.alias("r"), "h").where((F.col("l.set") < F.col("r.set")) & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
-        new = checkpoint(_near(pairs, found, docs, width, least))
-        if not new.isEmpty():
-            linked = components(edges.unionByName(new)).distinct()
-        return linked.select(F.col("node").alias("set"), "root")
-
-
-def groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, keys, root: documents have the same root if pairs with a similarity of least or more connect them. docs: with keys."""
-    found = checkpoint(_prefixes(docs, width, least, np.array([], np.uint64)))
-    some = found.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0).select("set", F.explode("first").alias("h")).distinct()
-    crowd = some.groupBy("h").count().where(F.col("count") > max(1, MANY // SAMPLE)).orderBy(F.desc("count"), "h").limit(COMMON)
-    common = np.unique(np.array([r.h for r in crowd.collect()], np.int64).view(np.uint64))
-    if len(common):
-        found = checkpoint(_prefixes(docs, width, least, common))
+
+    def buckets() -> tuple[DataFrame, DataFrame]:
+        """(index with the root of each set; of buckets with pairs of different components, whether they have too many to compare)."""
+        rooted = index.join(linked.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        counts = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        return rooted, checkpoint(counts.where("n * n > own").select("h", (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
+
+    edges = known
+    linked = checkpoint(components(edges).distinct())
+    rooted, open_ = buckets()
+    for k in range(ROUNDS):
+        some = open_ if k == 0 else open_.where("crowded")
+        if some.isEmpty():
+            break
+        left = checkpoint(rooted.join(some.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
+        hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.xxhash64("set", F.lit(k))).alias("x")).select("h", "x.*")
+        pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
+        new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
+        if new.isEmpty():
+            break
+        edges = edges.unionByName(new)
+        linked = checkpoint(components(edges).distinct())
+        rooted, open_ = buckets()
+    left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
+    pairs = left.alias("l").join(left.alias("r"), "h").where((F.col("l.set") < F.col("r.set")) & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
+    new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
+    if not new.isEmpty():
+        linked = components(edges.unionByName(new)).distinct()
+    return linked.select(F.col("node").alias("set"), "root")
+
+
+def groups(found: DataFrame, docs: DataFrame, width: int, least: float, pairs: DataFrame) -> DataFrame:
+    """doc_id, keys, root: documents have the same root if pairs with a similarity of least or more connect them.
+
+    found: :func:`sets` of docs; pairs: (a, b) of sets that may be near, which are verified and linked first.
+    """
+    known = checkpoint(_near(checkpoint(pairs.distinct()), found, docs, width, least))
     nodes = found.select("set", "n", "first").dropDuplicates(["set"])
     index = nodes.select("set", "n", F.posexplode("first").alias("at", "h"))
     index = checkpoint(index.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").select("h", "set", "n", "at"))
-    near = roots(index, found, docs, width, least)
+    near = roots(index, found, docs, width, least, known)
     return found.select("doc_id", *KEYS, "set").join(near, "set", "left").select("doc_id", *KEYS, F.coalesce("root", "set").alias("root"))
-
-
-def keep_first(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """docs, all columns, with one row of each group: the one of the smallest doc_id, nulls last."""
-    return keep_one(docs, checkpoint(groups(with_key(docs.select("doc_id", "text")), width, least)))

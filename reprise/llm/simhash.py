@@ -2,8 +2,8 @@
 
 Fingerprints are cut into parts of correlated bits. With thresholds t_1..t_m that sum to tau - m + 1, two fingerprints
 within tau bits agree within t_i bits on some part i; a part with threshold -1 needs no probing. A dynamic programme
-picks the thresholds with the least candidates, as estimated from the sizes of each part's buckets. Pairs of a bucket
-are verified on all 64 bits.
+picks the number of parts and their thresholds with the least probes and candidates, as estimated from the sizes of each part's
+buckets over all fingerprints. Pairs of a bucket are verified on all 64 bits.
 
 Buckets with more than MANY fingerprints aren't paired up. Their fingerprints are linked exactly through points half
 way: two fingerprints within tau bits have a point within ceil(tau/2) bits of one and floor(tau/2) of the other, so
@@ -25,30 +25,35 @@ from .common import checkpoint, keep_one, texts, with_key
 from .components import components
 
 BITS = 64
-MANY = 64  #: fingerprints of a bucket that are compared in pairs
+MANY = 64  #: fingerprints of a bucket that are compared in pairs; others are linked another way, with the same result
+PROBES = 100  #: keys that a fingerprint is looked up under at most (tau + 1 parts of threshold 0 need tau + 1)
 CHUNK = 1 << 16  #: shingles whose bits are counted at once
 
 
-def fingerprint(text: str, width: int) -> int:
-    """Bit i is set if it is set in over half of the XXH64 (seed 42) of the text's shingles; 0 without words."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles of a text, repeats included; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     n = len(words) - width + 1
     if n <= 1:
-        return hashed(joined, 42)
+        return np.array([hashed(joined, 42)] if words else [], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate([[0], np.cumsum(lengths)])
+    return np.fromiter((hashed(joined[a:e], 42) for a, e in zip(starts[:n].tolist(), (starts[width:] - 1).tolist(), strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; 0 for none."""
     counts = np.zeros(BITS, np.int64)
-    ends = (starts[width:] - 1).tolist()
-    begins = starts[:n].tolist()
-    for at in range(0, n, CHUNK):
-        h = np.fromiter((hashed(joined[a:e], 42) for a, e in zip(begins[at : at + CHUNK], ends[at : at + CHUNK], strict=True)), np.uint64, min(CHUNK, n - at))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(h), CHUNK):
+        counts += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, width: int) -> int:
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int, keys: list[str] | None = None) -> DataFrame:
@@ -97,24 +102,24 @@ def parts_of(correlation: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def allocate(pairs: list[float], widths: list[int], n: int, tau: int) -> list[int]:
-    """Thresholds that sum to tau - m + 1 with the least estimated cost; pairs: those that share each part's bucket."""
-    m = len(pairs)
+def allocate(pairs: list[float], widths: list[int], n: int, tau: int, most: int) -> tuple[float, list[int]] | None:
+    """(estimated cost, thresholds that sum to tau - m + 1) with the least cost, or None if every choice probes more than `most` keys a fingerprint.
 
-    def cost(i: int, t: int) -> float:
-        ball = sum(math.comb(widths[i], k) for k in range(t + 1))  # buckets that a fingerprint probes
-        return 0.0 if t < 0 else ball * (pairs[i] + n)
-
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for i in range(m):
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (c, ts) in best.items():
+    pairs: those that share each part's bucket; widths: bits of each part. The cost is the probes, and the pairs that they meet.
+    """
+    best: dict[tuple[int, int], tuple[float, list[int]]] = {(0, 0): (0.0, [])}  # by thresholds and probes so far
+    for i, width in enumerate(widths):
+        step: dict[tuple[int, int], tuple[float, list[int]]] = {}
+        for (used, probes), (c, ts) in best.items():
             for t in range(-1, tau + 1):
-                new = (c + cost(i, t), [*ts, t])
-                if used + t not in step or new < step[used + t]:
-                    step[used + t] = new
+                ball = sum(math.comb(width, k) for k in range(t + 1))  # buckets that a fingerprint probes
+                if probes + ball <= most:
+                    new = (c + ball * (pairs[i] + n), [*ts, t])
+                    key = (used + t, probes + ball)
+                    if key not in step or new < step[key]:
+                        step[key] = new
         best = step
-    return best[tau - m + 1][1]
+    return min((v for (used, _), v in best.items() if used == tau - len(widths) + 1), default=None)
 
 
 def _key(fp: Column, bits: list[int]) -> Column:
@@ -139,12 +144,16 @@ def links(fps: DataFrame, tau: int) -> DataFrame:
     fps: fp, different values. Every row returned is such a pair.
     """
     correlation, n = _correlations(fps)
-    m = max(1, min(tau + 1, int(BITS / max(1.0, math.log2(max(n, 2))))))
-    parts = parts_of(correlation, m)
+    forms = {m: parts_of(correlation, m) for m in range(1, tau + 2)}
+    cells = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("part"), _key(F.col("fp"), p).alias("key")) for m, parts in forms.items() for i, p in enumerate(parts)]
+    every_form = fps.select(F.explode(F.array(*cells)).alias("x")).select("x.*").groupBy("m", "part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    every_form = checkpoint(every_form)
+    pairs = {(r.m, r.part): float(r.s) for r in every_form.groupBy("m", "part").agg(F.sum(F.col("n").cast("double") * F.least("n", F.lit(MANY))).alias("s")).collect()}
+    plans = {m: allocate([pairs.get((m, i), 0.0) for i in range(m)], [len(p) for p in parts], n, tau, PROBES) for m, parts in forms.items()}
+    m = min((m for m, plan in plans.items() if plan), key=lambda m: plans[m][0])
+    parts, thresholds = forms[m], plans[m][1]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _key(F.col("fp"), p).alias("key")) for i, p in enumerate(parts)])).alias("x")).select("fp", "x.part", "x.key")
-    sizes = checkpoint(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    pairs = {r.part: float(r.s) for r in sizes.groupBy("part").agg(F.sum(F.col("n").cast("double") * F.least("n", F.lit(MANY))).alias("s")).collect()}
-    thresholds = allocate([pairs.get(i, 0.0) for i in range(m)], [len(p) for p in parts], n, tau)
+    sizes = every_form.where(F.col("m") == m).select("part", "key", "n")
     probed = [i for i in range(m) if thresholds[i] >= 0]
     index = keyed.where(F.col("part").isin(probed))
     hot = sizes.where(F.col("n") > MANY).where(F.col("part").isin(probed)).select("part", "key")
@@ -198,11 +207,23 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, width: int = 5, tau: int = 3) -> DataFrame:
-    """docs, all columns, with one row of each group: the one of the smallest doc_id.
+def keep_first(docs: DataFrame, width: int = 5, tau: int = 2, least: float = 0.8) -> DataFrame:
+    """docs, all columns, with one row of each group: the one of the smallest doc_id, nulls last.
 
-    Rows are told apart by doc_id and text, so texts that repeat a doc_id or have none stay in their own groups. Rows
-    with a null doc_id are kept only as the one row of their group.
+    Groups are connected by pairs whose sets of shingles have a Jaccard similarity of `least` or more. Fingerprints within tau
+    bits are found by the scheme above, and verified on the sets; as they are a small part of such pairs, a join by
+    prefixes (shingles.py) finds the others. Rows are told apart by doc_id and text, so texts that repeat a doc_id or have
+    none are documents of their own; of rows equal in both one stays. Texts without words are one group, and texts of fewer
+    words than a shingle are copies if they have the same words. Tables may have further columns of any name but __k1 and __k2.
     """
-    fps = checkpoint(fingerprints(with_key(docs), width, ["__k1", "__k2"]))
-    return keep_one(docs, fps.join(_rooted(fps, tau).select("fp", "root"), "fp"))
+    from . import shingles
+
+    keyed = with_key(docs.select("doc_id", "text"))
+    found = shingles.sets(keyed, width, least)
+    nodes = checkpoint(found.groupBy("fp").agg(F.min("set").alias("set")))
+    near = links(nodes.select("fp"), tau)
+    name = lambda c: nodes.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}"))
+    pairs = near.join(name("a"), "a").join(name("b"), "b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+    same = found.select("fp", "set").distinct().join(nodes.select("fp", F.col("set").alias("a")), "fp").where("set <> a").select("a", F.col("set").alias("b"))
+    groups_ = shingles.groups(found, keyed, width, least, pairs.unionByName(same))
+    return keep_one(docs, checkpoint(groups_))

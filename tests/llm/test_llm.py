@@ -274,7 +274,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, many):
             for at in rng.integers(0, 190, rng.integers(0, 9)):
                 t[at : at + rng.integers(0, 3)] = [f"new{rng.integers(0, 10**9)}"]
             rows.append((len(rows), " ".join(t) + line * (k % 2)))
-    sets = [set(shingles.shingles(t, 5).tolist()) for _, t in rows]
+    sets = [set(np.unique(simhash.shingle_hashes(t, 5)).tolist()) for _, t in rows]
     similar = lambda a, b: len(a & b) / len(a | b)
     root = list(range(len(rows)))
     for i, a in enumerate(sets):
@@ -282,16 +282,16 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, many):
             if similar(a, sets[j]) >= 0.8:
                 x, y = root[i], root[j]
                 root = [min(x, y) if r in (x, y) else r for r in root]
-    kept = {r.doc_id for r in shingles.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert 12 < len(set(root)) < 100 and kept == set(root)
 
 
 def test_near_duplicates_keep_rows_of_groups(spark, docs, empty):
     d, every = _no_ids(spark)
-    kept = shingles.keep_first(d).collect()
+    kept = simhash.keep_first(d).collect()
     assert len(kept) == len(every) and {r.text for r in kept} == every
-    assert [r.doc_id for r in shingles.keep_first(docs).orderBy("doc_id").collect() if r.doc_id in (1, 3, 4, 5, 6)] == [1, 4]
-    assert shingles.keep_first(docs).columns == docs.columns and shingles.keep_first(empty).count() == 0
+    assert [r.doc_id for r in simhash.keep_first(docs).orderBy("doc_id").collect() if r.doc_id in (1, 3, 4, 5, 6)] == [1, 4]
+    assert simhash.keep_first(docs).columns == docs.columns and simhash.keep_first(empty).count() == 0
 
 
 def test_decontamination(spark, docs, empty):
