@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprise.llm import decontamination, mixing, shingles, tokens, toxicity
+from reprise.llm import decontamination, mixing, simhash, tokens, toxicity
 from reprise.llm.common import table
 
 TOXIC = 0.3
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that pairs with a five-word similarity of 0.8 or more connect."""
-    return shingles.keep_first(docs, width=5, least=0.8)
+    return simhash.keep_first(docs, width=5, tau=2, least=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
