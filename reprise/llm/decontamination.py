@@ -32,15 +32,15 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hours minu
 
 def canonical(text: Column) -> Column:
     """The words of a text; slots keep their value behind the mark of their type."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", NAME)
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=(?:^|[\x20\x09-\x0D])[\"'(\[“‘«]?)", INITIAL)
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?=\p{Lu}\p{Ll})(?<=(?:^|[\x20\x09-\x0D])[\"'(\[“‘«]?)", INITIAL)
+    t = F.regexp_replace(t, rf"{INITIAL}(?<=[\p{{Ll}},;] {INITIAL})", NAME)
     t = F.lower(t)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     numbers = F.regexp_replace(t, r"(?=\p{N})(?<![\p{L}\p{N}.,])", NUMBER)
     numbers = F.regexp_replace(numbers, rf"({NUMBER}[\p{{N}}.,]+) ?({units})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.when(t.rlike(r"\p{N}"), numbers).otherwise(t)
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D{NUMBER}{NAME}{UNIT}{INITIAL}]+", "")
-    return F.filter(F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), lambda w: ~w.isin(NUMBER, NAME, UNIT, INITIAL))
+    return F.filter(F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), lambda w: (w >= F.lit("\x05")) | ~w.isin(NUMBER, NAME, UNIT, INITIAL))
 
 
 def _slot(w: Column) -> Column:
@@ -52,40 +52,38 @@ def read(words: Column, form: str) -> Column:
     return F.transform(words, lambda w: F.when(w < F.lit("\x05"), F.translate(w, *FORMS[form])).otherwise(w))
 
 
-def _hashes(ws: Column) -> Column:
-    return F.transform(ws, lambda w: F.xxhash64(F.when(_slot(w), F.substring(w, 1, 1)).otherwise(w)))
+def _hash(w: Column) -> Column:
+    return F.xxhash64(F.when(_slot(w), F.substring(w, 1, 1)).otherwise(w))
 
 
-def _cuts(ws: Column, widths: list[int], row, kind: str) -> Column:
-    """row(hash, at, width) of each window. Hashes of 1, 2, 4, 8 words are made of each other, those of a width of them."""
+def _cuts(hashes: Column, widths: list[int], row, kind: str) -> Column:
+    """row(hash, at, width) of each window, from the hashes of words. Hashes of 2, 4, 8 words are made of each other; two of them that overlap make those of a width between."""
 
-    def joined(left: Column, right: Column, n: int) -> Column:
-        return F.zip_with(left, F.slice(right, n + 1, F.greatest(F.size(right), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    def joined(of: Column, n: int) -> Column:
+        return F.zip_with(of, F.slice(of, n + 1, F.greatest(F.size(of), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
-    def of(powers: list[Column], n: int) -> Column:
+    def grown(powers: list[Column], n: int) -> Column:
         if 2 * n <= max(widths):
-            return let(joined(powers[-1], powers[-1], n), lambda x: of([*powers, x], 2 * n))
+            return let(joined(powers[-1], n), lambda x: grown([*powers, x], 2 * n))
 
         def cut(width: int) -> Column:
-            bits = [k for k in reversed(range(len(powers))) if width >> k & 1]
-            out, done = powers[bits[0]], 1 << bits[0]
-            for k in bits[1:]:
-                out, done = joined(out, powers[k], done), done + (1 << k)
-            last = F.size(powers[0]) - (width - 1)
-            part = F.slice(out, F.lit(1), F.greatest(last, F.lit(0)))
+            k = width.bit_length() - 1
+            whole = powers[k] if width == 1 << k else joined(powers[k], width - (1 << k))
+            part = F.slice(whole, F.lit(1), F.greatest(F.size(powers[0]) - (width - 1), F.lit(0)))
             return part if row is None else F.transform(part, lambda h, i: row(h, i + 1, width))
 
         return F.concat(*map(cut, widths)) if widths else F.array().cast(f"array<{kind}>")
 
-    return let(_hashes(ws), lambda hs: of([hs], 1))
+    return let(hashes, lambda hs: grown([hs], 1))
 
 
 def templates(words: Column, widths: dict[str, list[int]]) -> Column:
     """array of the template hashes of all windows, by form; a form that reads a text like the first is left out."""
 
-    def of(ws: Column) -> Column:
+    def of(ws: Column, plain: Column) -> Column:
         def cuts(form: str) -> Column:
-            return let(read(ws, form), lambda x: _cuts(x, widths[form], None, "bigint"))
+            hashes = F.zip_with(ws, plain, lambda w, h: F.coalesce(h, let(F.translate(w, *FORMS[form]), _hash)))
+            return _cuts(hashes, widths[form], None, "bigint")
 
         found = []
         for form in widths:
@@ -94,7 +92,8 @@ def templates(words: Column, widths: dict[str, list[int]]) -> Column:
             found.append(F.when(some, cuts(form)).otherwise(F.array().cast("array<bigint>")))
         return F.concat(*found)
 
-    return let(words, of)
+    # the hashes of words without a mark are the same in all forms
+    return let(words, lambda ws: let(F.transform(ws, lambda w: F.when(w >= F.lit("\x05"), F.xxhash64(w))), lambda plain: of(ws, plain)))
 
 
 def windows(words: Column, widths: dict[str, list[int]]) -> Column:
@@ -111,7 +110,7 @@ def windows(words: Column, widths: dict[str, list[int]]) -> Column:
                 part = F.slice(ws, i, width)
                 return F.struct(F.lit(form).alias("form"), F.lit(width).alias("width"), i.alias("at"), h.alias("hash"), let(part, pattern).alias("slots"), F.size(F.filter(part, lambda w: ~_slot(w))).alias("plain"))
 
-            return _cuts(ws, widths[form], row, "struct<form:string,width:int,at:int,hash:bigint,slots:bigint,plain:int>")
+            return _cuts(F.transform(ws, _hash), widths[form], row, "struct<form:string,width:int,at:int,hash:bigint,slots:bigint,plain:int>")
 
         return let(read(words, form), of)
 

@@ -128,18 +128,17 @@ def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
         counts = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
         return rooted, checkpoint(counts.where("n * n > own").select("h", (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
 
-    edges = known
-    linked = checkpoint(components(edges).distinct())
-    rooted, open_ = buckets()
+    edges, linked, left = known, None, index.withColumn("root", F.col("set"))
     for k in range(ROUNDS):
-        some = open_ if k == 0 else open_.where("crowded")
-        if some.isEmpty():
-            break
-        left = checkpoint(rooted.join(some.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
+        if k:
+            crowded = open_.where("crowded").select("h")
+            if crowded.isEmpty():
+                break
+            left = checkpoint(rooted.join(crowded, "h", "left_semi").select("h", "set", "n", "at", "root"))
         hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.xxhash64("set", F.lit(k))).alias("x")).select("h", "x.*")
         pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
         new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
-        if new.isEmpty():
+        if k and new.isEmpty():
             break
         edges = edges.unionByName(new)
         linked = checkpoint(components(edges).distinct())

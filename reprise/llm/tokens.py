@@ -38,7 +38,7 @@ END = 2
 SHARD = 1 << 18
 PER_PASS, LEAST = 1 << 13, 16  #: new rules of a pass at most, occurrences of a pair at least
 SLOTS_LOG = 17
-CACHED = 1 << 20  #: pieces whose ids a worker remembers for good
+CACHED = 400_000  #: pieces whose ids a worker remembers for good
 CHUNK = 1 << 19  #: bytes of texts that are looked up together
 TAILS, PLAIN = np.zeros(256, bool), np.zeros(256, bool)  #: signs that are pieces of their own behind letters and digits; those
 TAILS[list(b".,;:!?")] = True
@@ -95,7 +95,7 @@ class _Slots:
         """New ones, each once."""
         if 2 * (self.count + len(h)) > len(self.slots):
             old = self.slots[self.slots[:, 0] != 0]
-            self.__init__((4 * (self.count + len(h))).bit_length())
+            self.__init__((2 * (self.count + len(h))).bit_length())
             self._put(old[:, 0], old[:, 1])
         self._put(h, (c << np.uint64(48)) | numbers)
 
