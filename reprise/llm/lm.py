@@ -4,11 +4,12 @@ The score of a token after two tokens is (P1[c1] + P2[c2]) . Q[w] + b[w]. The mo
 tokens and, for all others, classes by the last bytes of the token; within a class a token has the share that its count has in
 the class, and one share is kept for tokens never seen. So every token has a probability, and they add up to 1.
 
-Training reads every training text. Each task trains a copy of the model on its own texts, in minibatches with noise
-tokens from the unigram distribution shared by a batch; copies are averaged by their tokens in an aggregate, and a further
-round starts from the average. As scores are sums over the two places, exp(score) factors, and the sums over all
-outcomes for all pairs of contexts are one matrix product of two exponentiated tables: tokens get exactly normalised
-log probabilities without a sum over the vocabulary for each.
+Training reads every training text once, in ROUNDS rounds. Texts are dealt by a hash to groups of about GROUP tokens and
+to rounds; so groups depend on the corpus alone, not on how it is partitioned. In a round each group trains a copy of the
+model on its texts of that round, in minibatches with noise tokens from the unigram distribution shared by a batch; the
+copies are averaged by their tokens in an aggregate, and the next round starts from the average. As scores are sums over the
+two places, exp(score) factors, and the sums over all outcomes for all pairs of contexts are one matrix product of two
+exponentiated tables: tokens get exactly normalised log probabilities without a sum over the vocabulary for each.
 
 Counts cover all training tokens. Scoring takes those of the KNOWN most frequent tokens from a table of that size and
 joins the rest by token.
@@ -16,10 +17,9 @@ joins the rest by token.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, texts
+from .words import Slots, Words, chunks, mix
 
 END = "\n"  #: no word has it
 WORDS, CLASSES, SIZE = 1536, 512, 32  #: outcomes of their own, classes for the others, length of vectors
 KNOWN = 250_000  #: tokens at most; those of the count where they would become more are left to the join
 TAIL = 3  #: bytes of a token that give its class
-NOISE, BATCH, ROUNDS, RATE = 32, 1024, 1, 0.05
+NOISE, BATCH, ROUNDS, RATE = 32, 1024, 4, 0.05
+GROUP = 1 << 21  #: training tokens of a group, in all rounds; a text of more is in one group
+ROWS = 1024  #: texts that are scored at once
 FLUSH = 1_000_000  #: different tokens that a task counts before it sends them
 
 
@@ -66,15 +69,37 @@ def counts_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def class_of(token: bytes) -> int:
-    return zlib.crc32(token[-TAIL:]) % CLASSES
+def classes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The class of each token, by its last TAIL bytes."""
+    code = np.zeros(len(starts), np.uint64)
+    for k in range(TAIL):
+        at = ends - 1 - k
+        code = code * np.uint64(257) + np.where(at >= starts, data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return (mix(code) % np.uint64(CLASSES)).astype(np.int32)
+
+
+def _listed(tokens: list[bytes]) -> Words:
+    """Tokens as words of one text."""
+    n = np.array([len(t) for t in tokens], np.int64)
+    ends = np.cumsum(n)
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    return Words(slice(0, 1), data, np.array([0, len(data)]), ends - n, ends, np.array([0, len(tokens)]))
+
+
+def _names(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    return w.hashes() | np.uint64(1), w.sums() & np.uint64(0xFFFF)
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 @dataclass
 class Vocabulary:
     n: int  #: training tokens
     v: int  #: different ones
-    table: dict[bytes, int]  #: place of the KNOWN most frequent tokens
+    table: Slots  #: 1 + place of the KNOWN most frequent tokens; the end has place `end`
+    end: int
     count: np.ndarray  #: of each of those
     outcome: np.ndarray  #: of each of those
     mass: np.ndarray  #: of each class: its tokens' counts, each and once more plus one half
@@ -84,14 +109,11 @@ class Vocabulary:
     def n_words(self) -> int:
         return len(self.unigram) - CLASSES
 
-    def outcomes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the table or -1, outcome) of each word and of the end."""
-        get = self.table.get
-        at = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        out = np.where(at >= 0, self.outcome[np.maximum(at, 0)], 0) if len(self.outcome) else np.zeros(len(at), np.int32)
-        for k in np.flatnonzero(at < 0).tolist():
-            out[k] = self.n_words + class_of(words[k])
-        return at, out.astype(np.int32)
+    def outcomes(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table or -1, outcome) of the words of each text and of its end."""
+        at = self.table.find(*_names(w)).astype(np.int64) - 1
+        out = np.where(at >= 0, self.outcome[np.maximum(at, 0)], self.n_words + classes_of(w.data, w.starts, w.ends))
+        return np.insert(at, w.first[1:], self.end), np.insert(out, w.first[1:], 0).astype(np.int16)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -106,32 +128,36 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             break
         low = r.g
     top = counts.where(grade >= F.lit(low if low is not None else 1 << 30)).toPandas().sort_values(["c", "token"], ascending=[False, True])
-    tokens = [t.encode() for t in top["token"]]
+    tokens, count = [t.encode() for t in top["token"]], top["c"].to_numpy(np.int64)
     end = END.encode()
+    if end not in tokens:  # no training text
+        tokens, count = [*tokens, end], np.append(count, 0)
     words = [end, *[t for t in tokens[:WORDS] if t != end]][:WORDS]
-    table = {t: k for k, t in enumerate(tokens)}
-    if end not in table:  # no training text
-        table[end] = len(tokens)
-    count = np.append(top["c"].to_numpy(np.int64), [0] * (len(table) - len(tokens)))
     index = {t: k for k, t in enumerate(words)}
-    outcome = np.array([index.get(t, -1) for t in table], np.int32)
-    outcome = np.where(outcome >= 0, outcome, len(words) + np.array([class_of(t) for t in table], np.int32))
-    own = set(words)
+    listed = _listed(tokens)
+    own = np.array([index.get(t, -1) for t in tokens], np.int32)
+    outcome = np.where(own >= 0, own, len(words) + classes_of(listed.data, listed.starts, listed.ends))
+    table = Slots()
+    table.add(*_names(listed), np.arange(1, len(tokens) + 1, dtype=np.uint64))
+    mine = frozenset(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, many = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for b in batches:
-            rows = [(class_of(t), c) for t, c in zip(b["token"].cast(pa.binary()).to_pylist(), b["c"].to_pylist(), strict=True) if t not in own]
-            k = np.array([r[0] for r in rows], np.int64)
-            total += np.bincount(k, weights=[r[1] for r in rows], minlength=CLASSES).astype(np.int64) if rows else 0
+            tokens_ = b["token"].cast(pa.binary()).to_pylist()
+            others = np.array([t not in mine for t in tokens_], bool)
+            w = _listed(tokens_)
+            k, c = classes_of(w.data, w.starts, w.ends)[others], b["c"].to_numpy()[others]
+            np.add.at(total, k, c)
             many += np.bincount(k, minlength=CLASSES)
         yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(total), pa.array(many)], ["k", "total", "many"])
 
     mass = np.full(CLASSES, 0.5)
     for r in counts.mapInArrow(run, "k long, total long, many long").groupBy("k").agg(F.sum("total").alias("total"), F.sum("many").alias("many")).collect():
         mass[r.k] += r.total + 0.5 * r.many
-    unigram = np.concatenate([count[[table[w] for w in words]] + 0.5, mass])
-    return Vocabulary(n or 0, v or 0, table, count, outcome, mass, unigram / unigram.sum())
+    place = {t: k for k, t in enumerate(tokens)}
+    unigram = np.concatenate([count[[place[w] for w in words]] + 0.5, mass])
+    return Vocabulary(n or 0, v or 0, table, place[end], count, outcome, mass, unigram / unigram.sum())
 
 
 @dataclass
@@ -176,7 +202,7 @@ def _contexts(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c2[starts] = 0
     c1 = np.concatenate([[0], c2[:-1]])
     c1[starts] = 0
-    return c1.astype(np.int32), c2.astype(np.int32)
+    return c1.astype(np.int16), c2.astype(np.int16)
 
 
 class _Trainer:
@@ -204,7 +230,7 @@ class _Trainer:
         m, order = self.m, self.rng.permutation(len(w))
         for at in range(0, len(w), BATCH):
             x = order[at : at + BATCH]
-            a, c, t = c1[x], c2[x], w[x].astype(np.int16)
+            a, c, t = c1[x], c2[x], w[x]
             noise = np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]).clip(max=len(m.b) - 1)
             h = m.p1[a] + m.p2[c]
             qt, qn = m.q[t], m.q[noise]
@@ -213,111 +239,123 @@ class _Trainer:
             dh = right[:, None] * qt - wrong @ qn
             dq = np.concatenate([right[:, None] * h, -(wrong.T @ h)])
             both = np.concatenate([t, noise.astype(np.int16)])
-            self._step(0, a.astype(np.int16), dh)
-            self._step(1, c.astype(np.int16), dh)
+            self._step(0, a, dh)
+            self._step(1, c, dh)
             self._step(2, both, dq)
             self._step(3, both, np.concatenate([right, -wrong.sum(axis=0)]))
 
 
-def train(docs: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """docs: text of all training documents; rounds passes over them."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(vocabulary_)
-    model = Model.new(vocabulary_.unigram)
-    width = 3 * SIZE + 1
+def coded(docs: DataFrame, vocabulary_: Vocabulary) -> DataFrame:
+    """What training and scoring read of each text: doc_id, key (a number of the row), name (a hash of doc_id and text), w (outcomes, 16 bits each),
+    n, known (tokens, and those in the table that were counted), base (their base score), inside (logarithms of the shares in classes), rest (tokens that aren't in the table)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_)
+    base = float(np.log10(vocabulary_.n + 0.5 * (vocabulary_.v + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        vocab = shared.value
+        logs, log_mass = np.log10(vocab.count + 0.5), np.log10(vocab.mass)
+        key = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for words in chunks(b["text"]):
+                words = replace(words, data=LOWER[words.data])
+                at, w = vocab.outcomes(words)
+                ends = words.first[1:] + np.arange(1, len(words.first))  # tokens up to each text's end
+                begins = np.concatenate([[0], ends[:-1]])
+                there, other = at >= 0, w >= vocab.n_words
+                mine = np.where(there, logs[np.maximum(at, 0)], 0.0)
+                inside = np.where(other & there, mine, 0.0)
+                inside[other] -= log_mass[w[other] - vocab.n_words]
+                sums = lambda x: np.add.reduceat(x, begins)
+                missing = np.flatnonzero(~there)
+                raw, k = words.data.tobytes(), missing - np.searchsorted(ends, missing, "right")
+                rest = [raw[a:e] for a, e in zip(words.starts[k].tolist(), words.ends[k].tolist(), strict=True)]
+                cuts = pa.array(np.searchsorted(missing, np.concatenate([[0], ends])), pa.int32())
+                n = len(ends)
+                two = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * np.concatenate([[0], ends])).astype(np.int32).tobytes()), pa.py_buffer(w.tobytes())])
+                columns = [*(b[c].slice(words.rows.start, n) for c in ("doc_id", "name")), pa.array(np.arange(key, key + n)), two, pa.array(ends - begins), pa.array(sums((there & (vocab.count[np.maximum(at, 0)] > 0)).astype(np.int64)))]
+                columns += [pa.array(sums(mine) - (ends - begins) * base), pa.array(sums(inside)), pa.ListArray.from_arrays(cuts, pa.array(rest, pa.binary()).cast(pa.string()))]
+                yield pa.record_batch(columns, ["doc_id", "name", "key", "w", "n", "known", "base", "inside", "rest"])
+                key += n
+
+    schema = "doc_id long, name long, key long, w binary, n long, known long, base double, inside double, rest array<string>"
+    return texts(docs).withColumn("name", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")).mapInArrow(run, schema)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all outcomes of the texts, where each text's last one is)."""
+    each = [np.frombuffer(x.as_buffer(), np.int16) for x in column]
+    return np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+
+
+def train(texts_: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS, group: int = GROUP) -> Model:
+    """texts_: name and w of all training texts, to be read once a round. The driver gets outcomes * (3 * SIZE + 1) numbers a round."""
+    sc = texts_.sparkSession.sparkContext
+    unigram = vocabulary_.unigram
+    model, width = Model.new(unigram), 3 * SIZE + 1
+    groups = max(1, round(vocabulary_.n / group))
+    dealt = texts_.select("w", "name", F.pmod(F.xxhash64("name", F.lit("group")), F.lit(groups)).alias("g"), F.pmod(F.xxhash64("name", F.lit("round")), F.lit(rounds)).alias("turn"))
+
+    def learner(turn: int, start):
+        def learn(mine: pa.Table) -> pa.Table:
+            trainer = _Trainer(start.value, unigram, seed=turn)
+            w, ends = _flat(mine.sort_by("name")["w"])
+            trainer.train(*_contexts(w, ends), w)
+            x = trainer.m.rows() * np.float32(len(w))
+            columns = {f"x{j}": pa.array(x[:, j].astype(np.float64)) for j in range(width)}
+            return pa.table({"r": pa.array(np.arange(len(x), dtype=np.int32)), "n": pa.array(np.full(len(x), float(len(w)))), **columns})
+
+        return learn
+
     for turn in range(rounds):
-        start = sc.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
-            vocab = shared.value
-            trainer, n = _Trainer(start.value, vocab.unigram, seed=turn), 0
-
-            def learn(parts: list[np.ndarray]) -> int:
-                w = np.concatenate(parts)
-                trainer.train(*_contexts(w, np.cumsum([len(p) for p in parts]) - 1), w)
-                return len(w)
-
-            parts, held = [], 0
-            for b in batches:
-                for text in b["text"].to_pylist():
-                    parts.append(vocab.outcomes([*_words(text), END.encode()])[1])
-                    held += len(parts[-1])
-                    if held > 1 << 20:
-                        n += learn(parts)
-                        parts, held = [], 0
-            n += learn(parts) if parts else 0
-            if n:
-                x = trainer.m.rows().astype(np.float64) * n
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
-                yield pa.record_batch([pa.array(np.arange(len(x), dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), pa.array(np.full(len(x), float(n)))], ["r", "x", "n"])
-
-        sums = docs.select("text").mapInArrow(run, "r int, x array<double>, n double")
-        cells = sums.select("r", "n", F.posexplode("x").alias("j", "x")).groupBy("r", "j").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()  # outcomes * width numbers
-        if len(cells):
-            rows = np.zeros((len(vocabulary_.unigram), width))
-            rows[cells["r"], cells["j"]] = cells["x"]
-            model = Model.of_rows(rows)
+        schema = "r int, n double" + "".join(f", x{j} double" for j in range(width))
+        copies = dealt.where(F.col("turn") == turn).groupBy("g").applyInArrow(learner(turn, sc.broadcast(model)), schema)
+        # a row for each outcome of each copy; their sums are taken in steps
+        total = copies.groupBy("r").agg(F.sum("n").alias("n"), *[F.sum(f"x{j}").alias(f"x{j}") for j in range(width)]).toPandas().sort_values("r")
+        if len(total):
+            model = Model.of_rows(total[[f"x{j}" for j in range(width)]].to_numpy() / total[["n"]].to_numpy())
     return model
 
 
 _SUMS: dict = {}  # log_sums of the model that a worker used last
 
 
-def score(docs: DataFrame, counts: DataFrame, vocabulary_: Vocabulary, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of each text; log10. A null or empty text is its end alone."""
-    sc = docs.sparkSession.sparkContext
-    shared, mine = sc.broadcast(vocabulary_), sc.broadcast(model)
-    base = float(np.log10(vocabulary_.n + 0.5 * (vocabulary_.v + 1)))
+def score(local: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of each text; log10. A null or empty text is its end alone. local: :func:`coded`, to be read twice."""
+    mine = local.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        vocab, m = shared.value, mine.value
+        m = mine.value
         if _SUMS.get("of") is not m:
             _SUMS.clear()
             _SUMS.update(of=m, sums=m.log_sums())
-        sums = _SUMS["sums"]
-        logs = np.log10(vocab.count + 0.5)
-        log_mass = np.log10(vocab.mass)
-        key = TaskContext.get().partitionId() << 33
-        for b in batches:
-            rows: dict[str, list] = {k: [] for k in ("key", "n", "known", "base", "model", "rest")}
-            for text in b["text"].to_pylist():
-                words = [*_words(text), END.encode()]
-                at, w = vocab.outcomes(words)
-                c1, c2 = _contexts(w, np.array([len(w) - 1]))
-                there = at >= 0
-                known_logs = logs[at[there]]
-                other = w >= vocab.n_words  # of these the count's logarithm is added, here or after the join
-                in_table = other[there]
-                rows["model"].append(float(m.log_probabilities(c1, c2, w, sums).sum(dtype=np.float64)) / np.log(10) - float(log_mass[w[other] - vocab.n_words].sum()) + float(known_logs[in_table].sum()))
-                rows["key"].append(key)
-                rows["n"].append(len(w))
-                rows["known"].append(int((vocab.count[at[there]] > 0).sum()))
-                rows["base"].append(float(known_logs.sum()) - len(w) * base)
-                rows["rest"].append([words[k] for k in np.flatnonzero(~there).tolist()])
-                key += 1
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            columns = [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]
-            columns[-1] = columns[-1].cast(pa.list_(pa.string()))
-            yield pa.record_batch([b["doc_id"], *columns], ["doc_id", *rows])
-
-    local = checkpoint(texts(docs).mapInArrow(run, "doc_id long, key long, n long, known long, base double, model double, rest array<string>"))
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
+            w, ends = _flat(b["w"])
+            of_tokens = m.log_probabilities(*_contexts(w, ends), w, _SUMS["sums"]).astype(np.float64)
+            model_score = np.add.reduceat(of_tokens, np.concatenate([[0], ends[:-1] + 1])) / np.log(10) + b["inside"].to_numpy()
+            yield pa.record_batch([*(b[c] for c in ("doc_id", "key", "n", "known", "base")), pa.array(model_score)], ["doc_id", "key", "n", "known", "base", "model"])
+
+    scored = local.select("doc_id", "key", "n", "known", "base", "inside", "w").mapInArrow(run, "doc_id long, key long, n long, known long, base double, model double")
     rest = local.select("key", F.explode("rest").alias("token")).groupBy("key", "token").agg(F.count("*").alias("times"))
     found = rest.join(counts, "token", "left").groupBy("key").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen")
     )
     more = lambda c: F.coalesce(c, F.lit(0))
-    return local.join(found, "key", "left").select(
+    return scored.join(found, "key", "left").select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + more(F.col("seen"))).cast("long").alias("n_known"),
         (F.col("base") + more(F.col("logs"))).alias("base_score"), (F.col("model") + more(F.col("logs"))).alias("score"),
     )
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    """Scores of all documents by a model of those that aren't held out; with held_out and train_tokens."""
-    training = texts(docs.where(~held_out(F.col("doc_id"))))
-    counts = checkpoint(counts_of(training))
+    """Scores of all documents by a model of those that aren't held out; with held_out and train_tokens.
+
+    Rows that repeat a doc_id are separate documents; one without an id isn't held out. Texts may be of any length.
+    """
+    counts = checkpoint(counts_of(texts(docs.where(~held_out(F.col("doc_id"))))))
     vocab = vocabulary(counts)
-    scored = score(docs, counts, vocab, train(training, vocab))
+    local = checkpoint(coded(docs, vocab))
+    model = train(local.where(~held_out(F.col("doc_id"))).select("name", "w"), vocab)
+    scored = score(local, counts, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, texts
-from .words import Words, chunks, mix
+from .words import Slots, Words, chunks, mix
 
 END = 2
 SHARD = 1 << 18
@@ -61,50 +61,11 @@ def _letters(text: str) -> str:
     return text.encode().decode("latin1").translate(BYTE_LETTERS)
 
 
-class _Slots:
-    """80 bits of a hash -> a number, in an array with open addressing."""
-
-    def __init__(self, bits: int = 16):
-        self.bits, self.count = bits, 0
-        self.slots = np.zeros((1 << bits, 2), np.uint64)  # 64 bits of hash; 16 more, 48 of the number
-
-    def find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The number of each, or 0."""
-        out, todo, mask = np.zeros(len(h), np.uint64), np.arange(len(h)), len(self.slots) - 1
-        slot, want, check = (h >> np.uint64(64 - self.bits)).astype(np.int64), h, c
-        while len(todo):
-            found = self.slots[slot]
-            key, rest = found[:, 0], found[:, 1]
-            hit = (key == want) & (rest >> np.uint64(48) == check)
-            out[todo[hit]] = rest[hit] & np.uint64((1 << 48) - 1)
-            more = ~hit & (key != 0)
-            todo, slot, want, check = todo[more], (slot[more] + 1) & mask, want[more], check[more]
-        return out
-
-    def _put(self, h: np.ndarray, rest: np.ndarray) -> None:
-        slot, todo, mask, owner = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h)), len(self.slots) - 1, np.full(len(self.slots), -1, np.int32)
-        while len(todo):
-            free = self.slots[slot, 0] == 0
-            owner[slot[free]] = todo[free]
-            mine = free & (owner[slot] == todo)
-            self.slots[slot[mine], 0], self.slots[slot[mine], 1] = h[todo[mine]], rest[todo[mine]]
-            todo, slot = todo[~mine], (slot[~mine] + 1) & mask
-        self.count += len(h)
-
-    def add(self, h: np.ndarray, c: np.ndarray, numbers: np.ndarray) -> None:
-        """New ones, each once."""
-        if 2 * (self.count + len(h)) > len(self.slots):
-            old = self.slots[self.slots[:, 0] != 0]
-            self.__init__((2 * (self.count + len(h))).bit_length())
-            self._put(old[:, 0], old[:, 1])
-        self._put(h, (c << np.uint64(48)) | numbers)
-
-
 class _Table:
     """Ids of pieces of text by their hash: the first CACHED pieces for good, later ones for a while. pool[0] ends a document."""
 
     def __init__(self, end: int):
-        self.first, self.late = _Slots(), _Slots()
+        self.first, self.late = Slots(), Slots()
         self.pool, self.used, self.fixed = np.full(1 << 16, end, np.uint32), 1, 1
 
     def find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -117,7 +78,7 @@ class _Table:
     def tidy(self) -> None:
         """Forget later pieces, if they are too many."""
         if self.late.count > CACHED // 8:
-            self.late, self.used = _Slots(), self.fixed
+            self.late, self.used = Slots(), self.fixed
 
     def add(self, h: np.ndarray, c: np.ndarray, ids: list[bytes]) -> None:
         """New pieces, each once. Pieces of 2**16 ids and more aren't kept."""

@@ -1,6 +1,5 @@
 """Each operator against brute force on small tables with null, empty, long, repeated and clashing rows."""
 
-import hashlib
 import re
 import zlib
 
@@ -114,6 +113,25 @@ def test_lm(docs, empty):
     assert lm.fit_and_score(empty).count() == 0
 
 
+def test_lm_does_not_depend_on_partitions(spark):
+    """Word order that a model of two tokens can learn: held-out texts score better than by counts alone, by the same amount for any partitioning and number of groups."""
+    rng = np.random.default_rng(7)
+    after = {k: rng.integers(0, 60, 3) for k in range(60)}
+
+    def text(k):
+        out = [int(k) % 60]
+        while len(out) < 150:
+            out.append(int(rng.choice(after[out[-1]])))
+        return " ".join(f"v{x}" for x in out)
+
+    df = spark.createDataFrame([(k, text(k)) for k in range(600)] + [(None, text(1))] * 2, "doc_id long, text string")
+    gains = {}
+    for parts in (1, 16, 64):
+        r = lm.fit_and_score(df.repartition(parts)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gains[parts] = (r[0] - r[1]) / r[2]
+    assert min(gains.values()) > 0.2 and max(gains.values()) - min(gains.values()) < 1e-6, gains
+
+
 def test_lm_probabilities_add_up():
     u = np.full(20, 0.05)
     m = lm.Model.new(u)
@@ -190,7 +208,7 @@ def test_mixing(spark, empty):
     rows = [(i, "big" if i < 300 else "small" if i < 360 else None, "w " * (1 + i % 7)) for i in range(380)] + [(999, "void", "")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     p = mixing.plan(df, max_repetition=1.5)
-    got = mixing.copies(df, p).collect()
+    got = mixing.copies(df, p)[0].collect()
     assert len(got) == len(rows) and min(r["__copies"] for r in got) >= 1
     cuts = {r.key: r for r in p.cuts.collect()}
     for source in ("big", "small", None):
@@ -205,6 +223,18 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty, mixing.plan(empty, max_repetition=1.5)).count() == 0
 
 
+def test_mixing_rows_without_ids_and_clashing_names(spark):
+    """Rows that share an id, or have none, are cut one by one; columns keep their names."""
+    rows = [(None if i < 400 else 5, "a" if i < 400 else "b", " ".join(f"w{i}" for _ in range(3)), i, "x") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, __copies long, __key string")
+    p = mixing.plan(df, max_repetition=1.5, budget=2250.0)
+    mixed = mixing.mix(df, p)
+    assert mixed.columns == df.columns and {r["__copies"] for r in mixed.collect()} == set(range(600))
+    used = mixed.groupBy("source").agg(F.sum(mixing.tokens_of(F.col("text"))).alias("n")).collect()
+    weights = {r.key: r.weight for r in p.cuts.collect()}
+    assert all(p.budget * weights[r.source] - 3 <= r.n <= p.budget * weights[r.source] + 1e-6 for r in used)
+
+
 def _groups(fps, tau):
     root = {k: k for k in fps}
 
@@ -376,10 +406,6 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_digest_helpers():
-    assert substrings.digest("a é") == hashlib.sha256("a é".encode()).hexdigest()
-    assert secrets.base_digest([("assign", 0, 3), ("guess", 1, 2)]) == hashlib.sha256(b"assign:0:3").hexdigest()
-
 
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as C
