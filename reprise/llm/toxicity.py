@@ -25,13 +25,19 @@ from pyspark.sql import functions as F
 from .common import texts
 
 MAX_TRAIN = 12_000  #: labelled rows that learning reads
-MAX_CANDIDATES = 20_000  #: word beginnings, by toxic documents that have them, that are counted in the others
-MIN_TOXIC, MIN_LOG_ODDS = 4, 2.5  #: of an entry
+MIN_TOXIC, MIN_LOG_ODDS = 4, 2.5  #: toxic rows that have an entry, its log odds
+PRIOR = 4  #: toxic rows that an entry of SEED counts as seen in beside those that have it
 SHORTEST, LONGEST = 4, 9  #: letters of a word beginning
 
 # Letters that look like Latin ones, digits and signs written for letters.
 LOOKS_LIKE = dict(zip("аеорсухікѕјԁһո" + "αεορικντυ" + "01345789@$", "aeopcyxiksjdhn" + "aeopikvtu" + "oieastbgas"))
 FOLD = str.maketrans({c: " " for c in "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~\t\n\r\v\f’“”«»…–—"} | LOOKS_LIKE)
+#: General insults, known before any label is read.
+SEED = (
+    "idiot", "moron", "stupid", "imbecile", "dumb", "fool", "loser", "scum", "trash", "garbage", "filth", "vermin", "pathetic", "worthless", "useless", "disgusting", "repulsive", "clown", "jerk",
+    "creep", "freak", "pig", "coward", "liar", "bastard", "bitch", "whore", "slut", "crap", "shit", "fuck", "idiota", "estúpido", "imbécil", "basura", "asqueroso", "inútil", "crétin", "stupide",
+    "connard", "salaud", "ordure", "dégoûtant", "dumm", "arschloch", "abschaum", "wertlos", "ekelhaft", "scheisse", "schlampe",
+)
 #: Phrases in which an entry is harmless.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "worthless check", "stupid simple", "loser bracket")
 
@@ -86,7 +92,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Labels that are null, or of rows that are held out, are not read; a doc_id labelled twice is toxic if once so."""
+    """Labels that are null, or of rows that are held out, are not read; a doc_id labelled twice is toxic if once so, and of rows that repeat a doc_id all texts are learned from. Without labels of both kinds no text matches."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     chosen = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     spark = docs.sparkSession
@@ -110,9 +116,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     schema = "entry string, n long"
     total = lambda df: df.groupBy("entry").agg(F.sum("n").alias("n"))
-    bad = {r.entry: r.n for r in total(sample.where("toxic > 0").select("text").mapInArrow(counted(None), schema)).where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()}
-    good = {r.entry: r.n for r in total(sample.where("toxic = 0").select("text").mapInArrow(counted(frozenset(bad)), schema)).collect()}  # as many as bad at most
-    odds = {e: math.log((n + 0.5) / (n_bad + 1)) - math.log((good.get(e, 0) + 0.5) / (n_good + 1)) for e, n in bad.items()}
+    # entries in MIN_TOXIC toxic rows or more: as many as the words of max_train texts have, divided by that, at most
+    bad = {r.entry: r.n for r in total(sample.where("toxic > 0").select("text").mapInArrow(counted(None), schema)).where(F.col("n") >= MIN_TOXIC).collect()}
+    seed = {f" {fold(w).strip()} " for w in SEED}
+    good = {r.entry: r.n for r in total(sample.where("toxic = 0").select("text").mapInArrow(counted(frozenset({*bad, *seed})), schema)).collect()}
+    prior = lambda e: PRIOR if e in seed else 0
+    odds = {e: math.log((bad.get(e, 0) + prior(e) + 0.5) / (n_bad + 1)) - math.log((good.get(e, 0) + 0.5) / (n_good + 1)) for e in {*bad, *seed}}
     weights: dict[str, float] = {}
     for e in sorted((e for e, w in odds.items() if w >= MIN_LOG_ODDS), key=lambda e: (len(e.strip()), e)):
         word = e.strip()  # an entry that says no more than a shorter one is left out
@@ -143,10 +152,10 @@ def _logistic(at: pd.DataFrame, steps: int = 30, ridge: float = 1e-3) -> tuple[f
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score. A null or empty text has no match and so gets the score of the constant."""
+    """doc_id, score. A null or empty text has no match and so gets the score of the constant; equal texts get equal scores, of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = model.matcher()
+        match = model.matcher()  # once a task
         for b in batches:
             yield pa.record_batch([b["doc_id"], pa.array([model.score(match(t)) for t in b["text"].to_pylist()], pa.float64())], ["doc_id", "score"])
 
@@ -154,11 +163,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below threshold."""
+    """The rows of docs, all columns of any name, whose text scores below threshold. Null and empty texts stay unless the constant alone is above it."""
 
-    def run(texts_: pd.Series) -> pd.Series:
-        match = model.matcher()
-        return pd.Series([model.score(match(t or "")) < threshold for t in texts_], dtype=bool)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        match = model.matcher()  # once a task
+        for texts_ in batches:
+            yield pd.Series([model.score(match(t or "")) < threshold for t in texts_], dtype=bool)
 
     return docs.where(F.pandas_udf(run, "boolean")(F.coalesce(F.col("text"), F.lit(""))))
 
