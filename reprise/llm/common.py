@@ -41,8 +41,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under the working folder if the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.abspath("spark-warehouse/checkpoints")
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, one under the working folder if that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.abspath("spark-warehouse/checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

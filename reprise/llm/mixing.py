@@ -72,7 +72,7 @@ def solve(sources: DataFrame, target_entropy: float | None, max_repetition: floa
 
 def plan(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None, seed: int = SEED) -> Plan:
     """docs: doc_id, source, text. Sources without a token are passed over once."""
-    small = checkpoint(docs.select(_source(F.col("source")).alias("key"), order(F.col("source"), F.col("doc_id"), seed).alias("h"), tokens_of(F.col("text")).alias("n")))
+    small = checkpoint(docs.select(_source(F.col("source")).alias("key"), order(F.col("source"), F.col("doc_id"), F.col("text"), seed).alias("h"), tokens_of(F.col("text")).alias("n")))
     totals = small.groupBy("key").agg(F.sum("n").alias("n"))
     whole = totals.agg(F.sum("n")).first()[0] or 0
     sources = checkpoint(totals.withColumn("p", F.col("n") / F.lit(float(max(whole, 1)))))
@@ -107,19 +107,36 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repetition: f
     return Plan(alpha, float(budget), checkpoint(cuts))
 
 
-def order(source: Column, doc_id: Column, seed: int = SEED) -> Column:
-    return F.xxhash64(F.lit(seed), _source(source), doc_id.cast("long"))
+def order(source: Column, doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """The place of a row in its source's permutation; rows with the same id and text share one."""
+    return F.xxhash64(F.lit(seed), _source(source), doc_id.isNull(), doc_id.cast("long"), F.coalesce(text, F.lit("")))
 
 
-def copies(docs: DataFrame, p: Plan, seed: int = SEED) -> DataFrame:
-    """docs with __copies: how many times the mix has each row."""
+def _free(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as it needs to be none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def copies(docs: DataFrame, p: Plan, seed: int = SEED) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: how many times the mix has each row, and its place in the permutation.
+
+    Names that docs has already are avoided. A null source is a source of its own; a null text has no tokens. Rows with the same
+    source, id and text are cut together, so if there are many the realised tokens miss the budget by theirs at most.
+    """
+    times, place, key, cut = (_free(n, docs.columns) for n in ("__copies", "__place", "__key", "__cuts"))
     few = p.cuts.count() <= FEW
-    cuts = p.cuts.select(F.col("key").alias("__key"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    joined = docs.join(F.broadcast(cuts) if few else cuts, _source(F.col("source")) == F.col("__key"), "left")
-    extra = F.when(order(F.col("source"), F.col("doc_id"), seed) <= F.col("__cut"), 1).otherwise(0)
-    return joined.withColumn("__copies", F.col("__passes") + extra).drop("__key", "__passes", "__cut")
+    cuts = p.cuts.select(F.col("key").alias(key), F.struct("passes", "cut").alias(cut))
+    placed = docs.withColumn(place, order(docs["source"], docs["doc_id"], docs["text"], seed))
+    joined = placed.join(F.broadcast(cuts) if few else cuts, _source(placed["source"]) == cuts[key], "left")
+    extra = F.when(F.col(place) <= F.col(cut)["cut"], 1).otherwise(0)
+    return joined.withColumn(times, F.col(cut)["passes"] + extra).drop(key, cut), times, place
 
 
 def mix(docs: DataFrame, p: Plan, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as the plan says."""
-    return copies(docs, p, seed).where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
+    counted, times, place = copies(docs, p, seed)
+    again = _free("__copy", counted.columns)
+    return counted.where(F.col(times) > 0).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(again, times, place)

@@ -34,8 +34,8 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.copies(docs, mixing.plan(docs, max_repetition=1.5))
-    return mixed.select("doc_id", "source", mixing.tokens_of(F.col("text")).alias("n_tokens"), F.col("__copies").alias("copies"))
+    mixed, times, place = mixing.copies(docs, mixing.plan(docs, max_repetition=1.5))
+    return mixed.select("doc_id", "source", mixing.tokens_of(F.col("text")).alias("n_tokens"), F.col(times).alias("copies"), F.col(place).alias("place"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ COMMON = 200_000  #: common shingles that tasks know, the most frequent first
 ROUNDS = 5  #: of hubs; after them all pairs left are compared
 PIECES = 64  #: ranges of hashes whose shingles are counted, for a bound of similarity
 FEW = 500_000  #: keys that are broadcast
+ROWS = 256  #: texts whose shingles are held at once
 KEYS = ["__k1", "__k2"]
 
 
@@ -47,7 +48,7 @@ def _prefixes(docs: DataFrame, width: int, least: float, common: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             every = [shingle_hashes(t, width) for t in b["text"].to_pylist()]
             fps = np.array([majority(h) for h in every], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in every]
@@ -83,7 +84,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """set, all (its shingles), of docs with a column set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             yield pa.record_batch([b["set"], pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], ["set", "all"])
 
     return docs.select("set", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "set long, all array<long>")
