@@ -14,7 +14,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"]))
     n = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     base = F.array_join(F.filter("spans", lambda s: ~s.startswith("guess:")), ",")
-    return found.withColumn("spans", spans).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+    return found.withColumn("spans", spans).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), F.size("costs").cast("long").alias("n_values"), F.array_max("costs").alias("max_cost"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

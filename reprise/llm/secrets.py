@@ -9,7 +9,6 @@ its cost reaches the threshold.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -26,8 +25,22 @@ THRESHOLD = 9.0  #: log10 of guesses
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is long enough; a part of a run that is too short isn't longer
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Names that introduce a value, and the value up to a space, quote or closing bracket.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|credentials?|auth|bearer|(?:api|access|private|client|session|master)[_-]?(?:key|secret|token))["']?\x20{0,4}[:=]\x20{0,4}(?:["']([^"'\n]{4,})["']|([^\s"'<>(){}\[\],;]{4,}))""", re.IGNORECASE | re.ASCII)
+_NAME = r"(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|credentials?|auth|(?:api|access|private|client|session|master|encryption|signing)[_\- ]?(?:key|secret|token))"
+_VALUE = r"""(?:["'`]([^"'`\n]{4,})["'`]|([^\s"'`<>(){}\[\],;]{4,}))"""
+#: What introduces a value, and the value up to a space, quote or closing bracket: names with a sign behind them, options and headers;
+#: and names in a sentence, where only values of letters and others count.
+CONTEXTS = tuple(
+    (re.compile(p + _VALUE, re.IGNORECASE | re.ASCII), strict)
+    for p, strict in (
+        (_NAME + r"""["'`]?\x20{0,4}(?:[:=]|=>|:=|->)\x20{0,4}""", False),
+        (rf"--?{_NAME}[\x20=]", False),
+        (r"\b(?:bearer|basic)\x20{1,4}", True),
+        (_NAME + r"\x20{1,4}(?:is|was|to|set to|changed to)\x20{1,4}:?\x20?", True),
+    )
+)
+#: The password of a URL's user.
+USERINFO = re.compile(r"://[^\s:/@]{1,64}:([^\s/@]{4,})@")
+HINTS = (":", "=", "pass", "pwd", "secret", "token", "bearer", "basic", "->")
 
 # Words that guessers try first, most frequent first.
 WORDS = (
@@ -45,6 +58,8 @@ LEET = str.maketrans("01345@$!7", "oieasasit")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:\d{4}([-/.]?)\d{1,2}\1\d{1,2}|\d{1,2}([-/.]?)\d{1,2}\2(?:\d{4}|\d{2}))")
 YEAR = re.compile(r"(?:19|20)\d\d")
+SPOKEN = re.compile(r"(?=[a-z]*[aeiouy])(?:[^aeiouy\W\d_]{0,3}[aeiouy]{1,3}){1,6}[^aeiouy\W\d_]{0,3}")  #: a word that no list has, but that can be spoken
+SPOKEN_COST = 6.0  #: log10 of the guesses of such a word of 4 to 14 letters: the end of a list of a million
 PER_SPAN = math.log10(2)  #: cost of each further cut
 
 
@@ -75,6 +90,8 @@ def _spans(v: str) -> Iterator[tuple[int, int, float]]:
                     part = v[i:j]
                     caps = 0.0 if part == part.lower() else 0.3 if part[1:] == part[1:].lower() or part == part.upper() else 1.0
                     yield i, j, math.log10(r + 1) + extra + caps
+        if (i == 0 or not low[i - 1].isalpha()) and (m := SPOKEN.match(low, i)) and 4 <= m.end() - i <= 14 and not low[m.end() : m.end() + 1].isalpha() and v[i + 1 : m.end()].islower():
+            yield i, m.end(), SPOKEN_COST
         if m := YEAR.match(v, i):
             yield i, m.end(), 2.0
         if m := DATE.match(v, i):
@@ -115,46 +132,52 @@ def _cost(value: str) -> float:
     return guess_cost(value)
 
 
-def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all spans by start, then kind."""
+def values(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, log10 of the guesses) of all values in credential context, in order, none twice; of any length."""
+    found: dict[tuple[int, int], float] = {}
+    low = text.lower()
+    if any(h in low for h in HINTS):
+        spans = [(m.span(1 if m[1] is not None else 2), strict) for pattern, strict in CONTEXTS for m in pattern.finditer(text)] + [(m.span(1), False) for m in USERINFO.finditer(text)]
+        for (start, end), strict in spans:
+            value = text[start:end].rstrip(".,;:!?") if text[end : end + 1] not in ("'", '"', "`") else text[start:end]
+            if strict and not (any(c.isalpha() for c in value) and any(not c.isalpha() for c in value)):
+                continue
+            if len(value) >= 4:
+                found[start, start + len(value)] = _cost(value) if len(value) <= 200 else guess_cost(value)
+    return [(a, e, c) for (a, e), c in sorted(found.items())]
+
+
+def find(text: str, threshold: float = THRESHOLD, known: list[tuple[int, int, float]] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all spans by start, then kind. A value in credential context whose cost reaches threshold is one, unless a base span covers it. known: values(text)."""
     found = []
-    joined = ":" in text or "=" in text
-    if joined:
+    if ":" in text or "=" in text:
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if joined:
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1 if m[1] is not None else 2)
-            if any(a <= start and end <= b for _, a, b in found if b > start):
-                continue
-            value = text[start:end]
-            if (_cost(value) if len(value) <= 200 else guess_cost(value)) >= threshold:
-                found.append(("guess", start, end))
+    base, last = list(found), -1
+    for start, end, cost in values(text) if known is None else known:
+        if cost >= threshold and start >= last and not any(a <= start and end <= b for _, a, b in base):
+            found.append(("guess", start, end))
+            last = end
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, and for each text the arrays kinds, starts, ends of its spans (code points, end exclusive) and the spans' texts.
+    """doc_id, and for each text the arrays kinds, starts, ends of its spans (code points, end exclusive) and the spans' texts; value_starts, value_ends and
+    costs of all values in credential context, whether they are spans or not.
 
-    A null or empty text has no spans; repeated rows have the same ones.
+    A null or empty text has no spans; repeated rows have the same ones; texts may be of any length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = b["text"].to_pylist()
-            spans = [find(t, threshold) for t in whole]
+            known = [values(t) for t in whole]
+            spans = [find(t, threshold, v) for t, v in zip(whole, known, strict=True)]
             lists = [[[s[k] for s in found] for found in spans] for k in range(3)] + [[[t[a:e] for _, a, e in s] for s, t in zip(spans, whole, strict=True)]]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([b["doc_id"], *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], ["doc_id", "kinds", "starts", "ends", "found"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, kinds array<string>, starts array<long>, ends array<long>, found array<string>")
-
-
-def written(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{e}" for k, a, e in spans)
-
+            lists += [[[v[k] for v in found] for found in known] for k in range(3)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.record_batch([b["doc_id"], *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], ["doc_id", "kinds", "starts", "ends", "found", "value_starts", "value_ends", "costs"])
 
-def base_digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(written([s for s in spans if s[0] != "guess"]).encode()).hexdigest()
+    return texts(docs).mapInArrow(run, "doc_id long, kinds array<string>, starts array<long>, ends array<long>, found array<string>, value_starts array<long>, value_ends array<long>, costs array<double>")
