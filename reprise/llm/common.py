@@ -76,3 +76,16 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
         many = kept.join(twice, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
         kept = kept.join(twice, ["__k1", "__k2"], "left_anti").unionByName(many)
     return kept.drop("__k1", "__k2")
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system; Python workers stay and would hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts
+from .common import checkpoint, texts, trim
 from .components import components
 from .simhash import majority, shingle_hashes
 
@@ -57,6 +57,7 @@ def _prefixes(docs: DataFrame, width: int, least: float, common: np.ndarray) ->
             counts = pa.array([np.bincount((s >> np.uint64(64 - PIECES.bit_length() + 1)).astype(np.int64), minlength=PIECES) for s in sets], pa.list_(pa.int32()))
             columns = [b["doc_id"], *[b[k] for k in KEYS], pa.array(fps), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), firsts, counts]
             yield pa.record_batch(columns, ["doc_id", *KEYS, "fp", "set", "n", "first", "counts"])
+        trim()
 
     return texts(docs, KEYS).mapInArrow(run, "doc_id long, __k1 long, __k2 long, fp long, set long, n int, first array<long>, counts array<int>")
 

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts
+from .common import shared_dir, texts, trim
 from .words import Slots, Words, chunks, mix
 
 END = 2
@@ -437,6 +437,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
                     doc_ids, coded, size, seq, before = [], [], 0, seq + 1, before + size
         if coded:
             yield flush()
+        doc_ids, coded = [], []
+        trim()
 
     ordered.select("doc_id", "text").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
 
@@ -450,7 +452,7 @@ def _shards(spark: SparkSession, path: str) -> DataFrame:
     for part, n in sorted((r.part, r.n) for r in sizes.collect()):
         starts.append((part, at))
         at += n
-    known = spark.createDataFrame(starts, "part int, start long")
+    known = spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in starts], pa.int32()), "start": pa.array([n for _, n in starts], pa.int64())}))
     columns = ["doc_ids", "n_tokens", "symbols", "base", "rules", "lengths", "sequence"]
     return shards.join(F.broadcast(known) if len(starts) < 100_000 else known, "part").select(*columns, (F.col("start") + F.col("before")).alias("before"))
 

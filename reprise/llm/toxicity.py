@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +100,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     n_good = len(rows) - n_bad
     if not n_bad or not n_good:
         return Model({}, (50.0 if n_bad else -50.0, 0.0, 0.0))
-    sample = texts(docs).join(F.broadcast(spark.createDataFrame(rows, chosen.schema)), "doc_id")
+    known_rows = pa.table({"doc_id": pa.array([r.doc_id for r in rows], pa.int64()), "toxic": pa.array([r.toxic for r in rows], pa.int32())})
+    sample = texts(docs).join(F.broadcast(spark.createDataFrame(known_rows)), "doc_id")
 
     def counted(of: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +135,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
             a = [match(t) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["toxic"], pa.array([x[0] for x in a], pa.float64()), pa.array([x[1] for x in a], pa.float64())], ["y", "a", "b"])
 
-    at = sample.select("text", "toxic").mapInArrow(measured, "y int, a double, b double").toPandas()  # max_train rows of three numbers, or more if ids repeat
+    at = sample.select("text", "toxic").mapInArrow(measured, "y int, a double, b double").collect()  # max_train rows of three numbers, or more if ids repeat
     return Model(weights, _logistic(at))
 
 
-def _logistic(at: pd.DataFrame, steps: int = 30, ridge: float = 1e-3) -> tuple[float, float, float]:
+def _logistic(at: list, steps: int = 30, ridge: float = 1e-3) -> tuple[float, float, float]:
     """Newton steps for a regression on three numbers a row."""
     import numpy as np
 
-    x, y = np.column_stack([np.ones(len(at)), at["a"], at["b"]]), (at["y"].to_numpy() > 0).astype(float)
+    x, y = np.array([(1.0, r.a, r.b) for r in at]), np.array([float(r.y > 0) for r in at])
     c = np.zeros(3)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
@@ -165,12 +165,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of docs, all columns of any name, whose text scores below threshold. Null and empty texts stay unless the constant alone is above it."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()  # once a task
-        for texts_ in batches:
-            yield pd.Series([model.score(match(t or "")) < threshold for t in texts_], dtype=bool)
+        for b in batches:
+            yield b.filter(pa.array([model.score(match(t or "")) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.where(F.pandas_udf(run, "boolean")(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(doc_ids: list[int]) -> list[int]:

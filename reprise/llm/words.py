@@ -99,9 +99,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, rows: slice) -> Words:
 
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Words]:
     """The words of a column of texts without nulls, rows of size bytes at a time."""
-    column = column.cast(pa.large_string())
     _, where, raw = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(where, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
     at = 0
     while at < len(column):
