@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts, trim
+from .common import checkpoint, release, texts, trim
 from .components import components
 from .simhash import majority, shingle_hashes
 
@@ -33,10 +33,11 @@ KEYS = ["__k1", "__k2"]
 
 
 def prefix(s: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of s of which a set that is near enough has one; common (in order) come last."""
+    """The first shingles of s of which a set that is near enough has one; common ones (by the high half of their hash, in order) come last."""
     size = len(s) - math.ceil(least * len(s) - 1e-9) + 1
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        high = s >> np.uint64(32) << np.uint64(32)
+        late = common[np.minimum(np.searchsorted(common, high), len(common) - 1)] == high
         s = np.concatenate([s[~late], s[late]])
     return s[:size]
 
@@ -68,17 +69,12 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """What :func:`_prefixes` returns, with common shingles last. They are counted in the prefixes of all documents; only those that have some are looked at again."""
-    found = checkpoint(_prefixes(docs, width, least, np.array([], np.uint64)))
-    counts = found.select("set", "first").dropDuplicates(["set"]).select(F.explode("first").alias("h")).groupBy("h").count()
-    crowd = checkpoint(counts.where(F.col("count") > MANY).orderBy(F.desc("count"), "h").limit(COMMON).select("h"))
-    common = np.unique(np.array([r.h for r in crowd.collect()], np.int64).view(np.uint64))
-    if not len(common):
-        return found
-    again = checkpoint(found.select(*KEYS, F.explode("first").alias("h")).join(F.broadcast(crowd), "h", "left_semi").select(*KEYS).distinct())
-    few = _few(again)
-    new = _prefixes(docs.join(few, KEYS, "left_semi"), width, least, common)
-    return checkpoint(found.join(few, KEYS, "left_anti").unionByName(new))
+    """What :func:`_prefixes` returns, with common shingles last; they are counted in the prefixes of all documents."""
+    every = _prefixes(docs, width, least, np.array([], np.uint64)).select(F.explode("first").alias("h"))
+    # half of a hash says enough, as the order changes the work only
+    half = checkpoint(every.select(F.shiftright("h", 32).cast("int").alias("half")).groupBy("half").count().where(F.col("count") > MANY).orderBy(F.desc("count"), "half").limit(COMMON).select("half"))
+    halves = np.unique(np.array([r.half for r in half.collect()], np.int64).astype(np.uint64) << np.uint64(32))
+    return checkpoint(_prefixes(docs, width, least, halves))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -145,6 +141,7 @@ def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
         edges = edges.unionByName(new)
         linked = checkpoint(components(edges).distinct())
         rooted, open_ = buckets()
+        release(docs.sparkSession)
     left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
     pairs = left.alias("l").join(left.alias("r"), "h").where((F.col("l.set") < F.col("r.set")) & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
     new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
@@ -159,8 +156,12 @@ def groups(found: DataFrame, docs: DataFrame, width: int, least: float, pairs: D
     found: :func:`sets` of docs; pairs: (a, b) of sets that may be near, which are verified and linked first.
     """
     known = checkpoint(_near(checkpoint(pairs.distinct()), found, docs, width, least))
-    nodes = found.select("set", "n", "first").dropDuplicates(["set"])
+    # one row of each set; rows are told apart by keys, so that prefixes aren't shuffled
+    first = found.groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x"), F.count("*").alias("c")).where("c > 1")
+    copies = checkpoint(found.select("set", *KEYS).join(first, "set").where(F.struct(*KEYS) != F.col("x")).select(*KEYS).distinct())
+    nodes = found.join(_few(copies), KEYS, "left_anti").select("set", "n", "first")
     index = nodes.select("set", "n", F.posexplode("first").alias("at", "h"))
     index = checkpoint(index.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").select("h", "set", "n", "at"))
+    release(docs.sparkSession)
     near = roots(index, found, docs, width, least, known)
     return found.select("doc_id", *KEYS, "set").join(near, "set", "left").select("doc_id", *KEYS, F.coalesce("root", "set").alias("root"))
