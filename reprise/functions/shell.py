@@ -16,7 +16,7 @@ def git_is_mutating(arguments: Column) -> Column:
     return (
         F.when(F.size(words) == 0, False)
         .when(sub.isin("branch", "tag"), forced)
-        .when(sub.isin(V.GIT_READONLY), False)
+        .when(sub.isin(*V.GIT_READONLY), False)
         .when(sub == "stash", ~F.coalesce(second.isin("list", "show"), F.lit(False)))
         .otherwise(True)
     )
@@ -33,7 +33,7 @@ def command_is_mutating(piece: Column) -> Column:
         F.when(F.size(t) == 0, True)
         .when((name == "sed") & F.exists(rest, lambda a: a.startswith("-i")), True)
         .when(name == "git", git_is_mutating(rest))
-        .otherwise(~name.isin(V.READONLY_COMMANDS))
+        .otherwise(~name.isin(*V.READONLY_COMMANDS))
     )
 
 

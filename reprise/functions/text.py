@@ -57,7 +57,7 @@ def strip_boilerplate(c: Column) -> Column:
 def has_imperative(c: Column) -> Column:
     """An ask verb among the first tokens, where only soft words may stand from the fourth on, or anywhere in a short text."""
     t = tokens(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), URL, " "), PATH, " "), PUNCT, " "))
-    verb = lambda x: x.isin(V.IMPERATIVE_VERBS)
+    verb = lambda x: x.isin(*V.IMPERATIVE_VERBS)
     at = lambda i: F.get(t, F.lit(i))
     soft = lambda i: at(i).isin(*V.SOFT_WORDS)
     early = F.exists(F.slice(t, 1, 4), verb) | (soft(3) & verb(at(4))) | (soft(3) & soft(4) & verb(at(5)))
@@ -158,7 +158,7 @@ def normalize(c: Column, projects: list[str] = ()) -> Column:
         s = F.regexp_replace(s, rf"(?iu)(?<![A-Za-z0-9]){re.escape(name)}(?![A-Za-z0-9])", " <project> ")
     for pattern, put in ((UUID, " <id> "), (SHA, " <sha> "), (QUOTED, " <str> "), (NUM, " <num> "), (PUNCT, " ")):
         s = F.regexp_replace(s, pattern, put)
-    kept = F.filter(tokens(s), lambda t: ~t.isin(V.STOPWORDS))
+    kept = F.filter(tokens(s), lambda t: ~t.isin(*V.STOPWORDS))
     return F.array_join(F.slice(kept, 1, V.NORMALIZED_MAX_TOKENS), " ")
 
 
@@ -190,7 +190,7 @@ def label_score(c: Column) -> Column:
     t = F.slice(F.regexp_extract_all(F.lower(probe), F.lit("([a-z0-9]+(?:-[a-z0-9]+)?)"), F.lit(1)), 1, 5)
     skip = ("please", "you", "me", "us", "to", "the", "a", "an")
     first = F.aggregate(
-        F.transform(t, lambda x, i: F.when(x.isin(V.LABEL_VERBS), i).when(x.isin(*skip), F.lit(-1)).otherwise(F.lit(-2))),
+        F.transform(t, lambda x, i: F.when(x.isin(*V.LABEL_VERBS), i).when(x.isin(*skip), F.lit(-1)).otherwise(F.lit(-2))),
         F.lit(-1), lambda a, x: F.when(a == -1, x).otherwise(a),
     )
     penalty = raw.rlike("^[*\"'`“”‘’]") | starts_with_any(F.lower(raw), V.LABEL_PENALTY_PREFIXES)

@@ -31,6 +31,15 @@ class Scan:
     coverage: DataFrame
 
 
+MAX_PROJECTS = 1000  #: names that are masked in asks; the expression has a step for each
+
+
+def project_names(sessions: DataFrame) -> list[str]:
+    """The projects' names, so that asks that differ by them alone are the same; the MAX_PROJECTS with most sessions."""
+    named = sessions.where(F.length(F.trim("project")) >= 3).groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(MAX_PROJECTS)
+    return [r.project for r in named.collect()]
+
+
 def asks_of(turns: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
     """The first request of each session that says something, and later ones that begin a new task.
 
@@ -42,7 +51,7 @@ def asks_of(turns: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFram
     of = sessions.select("session_key", "session_id", "project", "started_at", F.col("turn_count").alias("session_turn_count")).join(files.select(F.col("path").alias("session_key"), "size_bytes"), "session_key")
     asks = said.join(of, "session_key").orderBy("size_bytes", "session_key", "ord").select(
         F.monotonically_increasing_id().alias("intent_ord"), "session_key", "session_id", "project", F.coalesce("ts", "started_at").alias("ts"), F.col("text").alias("raw_text"),
-        T.normalize(F.col("text")).alias("normalized"), "session_turn_count",
+        T.normalize(F.col("text"), project_names(sessions)).alias("normalized"), "session_turn_count",
     )
     return checkpoint(asks)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import vocab as V
 from .functions import text as T
 from .operators import cluster, cost, rank, rediscovery, suggest, verdict
+from .operators.graph import running_sum
 from .sources import adapters as A
 from .sources import records
 
@@ -103,8 +104,7 @@ def pricing_coverage(spark, d):
 SELECT session_key, bytes, sum(bytes) OVER (ORDER BY bytes, session_key)::BIGINT AS upto, sum(bytes) OVER (ORDER BY bytes, session_key) > 100000 AS truncated FROM sizes""")
 def byte_budget_scan(spark, d):
     sizes = A.turns(spark, d).groupBy("session_key").agg(F.sum(F.length("text")).alias("bytes"))
-    upto = F.sum("bytes").over(Window.orderBy("bytes", "session_key"))
-    return sizes.select("session_key", "bytes", upto.alias("upto"), (upto > 100000).alias("truncated"))
+    return running_sum(sizes, "bytes", "session_key", "upto").select("session_key", "bytes", "upto", (F.col("upto") > 100000).alias("truncated"))
 
 
 # ---- exploration before the first change
@@ -286,7 +286,7 @@ def label_score(spark, d):
 
 
 _CLUSTERS = _COSTED + """,
-members AS (SELECT dense_rank() OVER (ORDER BY project, coalesce(model, '')) AS cluster_id, session_key, session_id, project, ended_at AS ts, turn_count AS session_turn_count, row_number() OVER (ORDER BY session_key) AS intent_ord, basis, priced, model_key, billed_input, billed_output, billed_cache, round(usd, 6) AS usd FROM costed),
+members AS (SELECT dense_rank() OVER (ORDER BY project, coalesce(model, '')) AS cluster_id, session_key, session_id, project, ended_at AS ts, turn_count AS session_turn_count, split_part(session_key, '-', 2)::BIGINT AS intent_ord, basis, priced, model_key, billed_input, billed_output, billed_cache, round(usd, 6) AS usd FROM costed),
 ccost AS (SELECT cluster_id, sum(billed_input)::BIGINT AS input_tokens, sum(billed_output)::BIGINT AS output_tokens, sum(billed_cache)::BIGINT AS cache_read_tokens, sum(usd) AS usd,
   CASE max(CASE basis WHEN 'measured' THEN 1 WHEN 'estimated' THEN 2 ELSE 3 END) WHEN 1 THEN 'measured' WHEN 2 THEN 'estimated' ELSE 'unknown' END AS basis,
   CASE WHEN bool_or(model_key = 'default') THEN 'default' WHEN count(DISTINCT model_key) = 1 THEN min(model_key) ELSE 'mixed' END AS price_model, bool_and(priced) AS priced FROM members GROUP BY 1),
@@ -294,10 +294,12 @@ cfacts AS (SELECT cluster_id, count(*) AS run_count, count(DISTINCT session_id)
 
 
 def _members(spark, d):
-    c = _costed(spark, d)
-    return c.select(
-        F.dense_rank().over(Window.orderBy("project", F.coalesce("model", F.lit("")))).cast("long").alias("cluster_id"), "session_key", "session_id", "project",
-        F.col("ended_at").alias("ts"), F.col("turn_count").alias("session_turn_count"), F.row_number().over(Window.orderBy("session_key")).cast("long").alias("intent_ord"),
+    c = _costed(spark, d).withColumn("kind", F.coalesce("model", F.lit("")))
+    kinds = c.select("project", "kind").distinct()  # a few rows, which are numbered
+    numbered = kinds.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("project", "kind")).cast("long"))
+    return c.join(numbered, ["project", "kind"]).select(
+        "cluster_id", "session_key", "session_id", "project", F.col("ended_at").alias("ts"), F.col("turn_count").alias("session_turn_count"),
+        F.substring_index("session_key", "-", -1).cast("long").alias("intent_ord"),
     )
 
 
@@ -327,13 +329,14 @@ def candidate_scores(spark, d):
     return s.select("cluster_id", "distinct_sessions", "run_count", *[_r(c).alias(c) for c in ("frequency", "cost_score", "stability", "score")])
 
 
-@query(""", asks AS (SELECT project AS cluster_id, conv_ord AS intent_ord, session_id, ts, trim(text) AS text FROM (SELECT *, row_number() OVER (ORDER BY session_key, ord) AS conv_ord FROM turns WHERE role = 'user')),
+@query(""", asks AS (SELECT project AS cluster_id, conv_ord AS intent_ord, session_id, ts, trim(text) AS text FROM (SELECT *, split_part(session_key, '-', 2)::BIGINT * 1000000 + ord AS conv_ord FROM turns WHERE role = 'user')),
 one AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, text ORDER BY ts DESC, intent_ord) AS n FROM asks),
 placed AS (SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, intent_ord) AS place, intent_ord, session_id, ts, text FROM one WHERE n = 1)
 SELECT * FROM placed WHERE place <= 3""")
 def evidence_topk(spark, d):
     t = A.turns(spark, d).where("role = 'user'")
-    asks = t.select(F.col("project").alias("cluster_id"), F.row_number().over(Window.orderBy("session_key", "ord")).cast("long").alias("intent_ord"), "session_id", "ts", F.col("text").alias("raw_text"))
+    place = F.substring_index("session_key", "-", -1).cast("long") * 1000000 + F.col("ord")
+    asks = t.select(F.col("project").alias("cluster_id"), place.alias("intent_ord"), "session_id", "ts", F.col("text").alias("raw_text"))
     return rank.evidence(asks).withColumn("place", F.col("place").cast("long"))
 
 

@@ -48,8 +48,8 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as long as an ask can be, as user requests."""
-    d = _read(spark, sf_dir, "documents").where("n_chars BETWEEN 25 AND 1200")
+    """All documents, as user requests."""
+    d = _read(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("intent_ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("session_id"), F.col("source").alias("project"), F.col("text").alias("raw_text"))
 
 
@@ -70,4 +70,4 @@ tool_calls AS (SELECT 'user-' || user_id AS session_key, 'user-' || user_id AS s
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TOOLS.items())} END AS name,
   CASE WHEN event_type <> 'error' THEN '/repo/f' || (props->>'$.k') || '.py' END AS path,
   CASE WHEN event_type = 'error' THEN {_case(COMMANDS, f"(props->>'$.k')::BIGINT % {len(COMMANDS)}")} END AS command FROM events),
-requests AS (SELECT doc_id AS intent_ord, 'doc-' || doc_id AS session_id, source AS project, text AS raw_text FROM documents WHERE n_chars BETWEEN 25 AND 1200)"""
+requests AS (SELECT doc_id AS intent_ord, 'doc-' || doc_id AS session_id, source AS project, text AS raw_text FROM documents)"""

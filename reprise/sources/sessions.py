@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import running_sum
+
 # Harness, root under the home folder, whether transcripts lie in a subfolder of each project.
 ROOTS = (
     ("claude_code", ".claude/projects", False),
@@ -149,7 +151,7 @@ def within_budget(files: DataFrame, max_bytes: int | None) -> DataFrame:
     """
     if max_bytes is None:
         return files.withColumn("truncated", F.lit(False))
-    return files.withColumn("truncated", F.sum("size_bytes").over(Window.orderBy("size_bytes", "path")) > max_bytes)
+    return running_sum(files, "size_bytes", "path", "upto").withColumn("truncated", F.col("upto") > max_bytes).drop("upto")
 
 
 def _hidden(path: str) -> bool:
@@ -183,7 +185,8 @@ def lines(spark: SparkSession, files: DataFrame) -> DataFrame:
         key = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
         raw = spark.read.text(["file://" + p if p.startswith("/") else p for p in map(_escape, shown)])
         raw = raw.select(key.alias("session_key"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-        place = F.row_number().over(Window.partitionBy("session_key").orderBy("block", "id")).cast("long") - 1
+        # a block has fewer lines than 64 times its bytes before the next one begins, so no line needs to know the others
+        place = F.col("block") * 64 + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
         out = out.unionByName(raw.select("session_key", place.alias("ord"), "line"))
     if hidden:
         names = spark.createDataFrame([(p,) for p in hidden], "session_key string").repartition(min(len(hidden), 200))

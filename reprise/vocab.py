@@ -14,19 +14,22 @@ CORRECTION_PREFIXES = (
 )
 # Verbs of an ask.
 IMPERATIVE_VERBS = (
-    "add build change check clean create debug delete deploy document explain extract find fix generate implement improve investigate migrate "
-    "move optimize parse patch refactor remove rename replace rewrite run set ship show simplify summarize test update upgrade wire write compare "
-    "review resolve handle support convert install configure setup make help please can could would need want look inspect trace profile benchmark "
-    "commit push merge rebase draft design plan scaffold stub mock assert ensure verify validate audit rank cluster normalize discover render cost "
-    "redact publish bump polish"
-).split()
+    "add", "build", "change", "check", "clean", "create", "debug", "delete", "deploy", "document", "explain", "extract", "find", "fix", "generate",
+    "implement", "improve", "investigate", "migrate", "move", "optimize", "parse", "patch", "refactor", "remove", "rename", "replace", "rewrite",
+    "run", "set", "ship", "show", "simplify", "summarize", "test", "update", "upgrade", "wire", "write", "compare", "review", "resolve", "handle",
+    "support", "convert", "install", "configure", "setup", "make", "help", "please", "can", "could", "would", "need", "want", "look", "inspect",
+    "trace", "profile", "benchmark", "commit", "push", "merge", "rebase", "draft", "design", "plan", "scaffold", "stub", "mock", "assert", "ensure",
+    "verify", "validate", "audit", "rank", "cluster", "normalize", "discover", "render", "cost", "redact", "publish", "bump", "polish",
+)
 # Words that don't tell asks apart.
 STOPWORDS = (
-    "a an the and or but if then else when while of at by for with about against between into through during before after above below to from up "
-    "down in out on off over under again further once here there all each few more most other some such no nor not only own same so than too very "
-    "can will just don should now i me my we our you your it its this that these those is am are was were be been being have has had having do does "
-    "did doing please also like get got using use used"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "once", "here", "there", "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same",
+    "so", "than", "too", "very", "can", "will", "just", "don", "should", "now", "i", "me", "my", "we", "our", "you", "your", "it", "its", "this",
+    "that", "these", "those", "is", "am", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "please", "also", "like", "get", "got", "using", "use", "used",
+)
 # Sentences of shared templates, left out of the compared text.
 BOILERPLATE_PHRASES = (
     "implement the plan as specified", "it is attached for your reference", "do not edit the plan file itself", "do not edit the plan", "do not edit files",
@@ -60,10 +63,12 @@ LABEL_PENALTY_PREFIXES = (
     "okay", "ok,", "yes,", "yeah,",
 )
 LABEL_VERBS = (
-    "add build change check clean compare configure create debug delete deploy design document explore explain extract find fix generate harden "
-    "implement improve inspect investigate migrate move optimize parse patch refactor remove rename replace rewrite run scaffold set ship show "
-    "simplify summarize test update upgrade verify wire write review resolve support install make help please can could would need look read re-run rerun"
-).split()
+    "add", "build", "change", "check", "clean", "compare", "configure", "create", "debug", "delete", "deploy", "design", "document", "explore",
+    "explain", "extract", "find", "fix", "generate", "harden", "implement", "improve", "inspect", "investigate", "migrate", "move", "optimize",
+    "parse", "patch", "refactor", "remove", "rename", "replace", "rewrite", "run", "scaffold", "set", "ship", "show", "simplify", "summarize", "test",
+    "update", "upgrade", "verify", "wire", "write", "review", "resolve", "support", "install", "make", "help", "please", "can", "could", "would",
+    "need", "look", "read", "re-run", "rerun",
+)
 NON_CONTENT = ("<path>", "<url>", "<sha>", "<id>", "<num>", "<str>", "please", "also", "just", "help", "need", "want")
 # Words that count as one term.
 TOKEN_FOLD = {
@@ -80,14 +85,15 @@ MUTATING_TOOLS = ("strreplace", "write", "edit", "delete", "editnotebook", "appl
 SHELL_TOOLS = ("shell", "bash", "terminal")
 READ_TOOLS, SEARCH_TOOLS = ("read", "readfile"), ("glob", "grep")
 READONLY_COMMANDS = (
-    "ls dir cat head tail less more bat grep egrep fgrep rg ag ack find fd locate wc file stat pwd which type echo printf true false test dirname "
-    "basename realpath readlink tree md5sum sha256sum sha1sum cksum env printenv date uname whoami id hostname jq sed awk cut sort uniq tr diff cmp "
-    "column nl od hexdump strings cd"
-).split()
+    "ls", "dir", "cat", "head", "tail", "less", "more", "bat", "grep", "egrep", "fgrep", "rg", "ag", "ack", "find", "fd", "locate", "wc", "file",
+    "stat", "pwd", "which", "type", "echo", "printf", "true", "false", "test", "dirname", "basename", "realpath", "readlink", "tree", "md5sum",
+    "sha256sum", "sha1sum", "cksum", "env", "printenv", "date", "uname", "whoami", "id", "hostname", "jq", "sed", "awk", "cut", "sort", "uniq", "tr",
+    "diff", "cmp", "column", "nl", "od", "hexdump", "strings", "cd",
+)
 GIT_READONLY = (
-    "status log diff show blame ls-files ls-tree rev-parse describe branch tag remote config shortlog whatchanged cat-file name-rev symbolic-ref "
-    "rev-list range-diff"
-).split()
+    "status", "log", "diff", "show", "blame", "ls-files", "ls-tree", "rev-parse", "describe", "branch", "tag", "remote", "config", "shortlog",
+    "whatchanged", "cat-file", "name-rev", "symbolic-ref", "rev-list", "range-diff",
+)
 COMMAND_PREFIXES = ("sudo", "command", "time", "nice", "nohup", "env", "stdbuf")
 MIN_RESOLVABLE = 5
 # USD per million tokens, as of 2026-09-03.
@@ -109,7 +115,18 @@ SECRET_PATTERNS = (
     r"\bsk-[A-Za-z0-9_-]{10,}\b", r"\bghp_[A-Za-z0-9]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"(?i)Bearer\s+[A-Za-z0-9._\-+=/]{8,}", r"\b[A-Za-z0-9+/]{40,}={0,2}\b",
 )
 EVIDENCE_LIMIT = 120
-# Where each harness keeps its sessions, below the home folder.
-HARNESS_ROOTS = (("claude_code", ".claude/projects"), ("codex", ".codex/sessions"), ("codex", ".codex/history"), ("cursor", ".cursor/projects"))
-SKIP_SYMLINK_OUTSIDE, SKIP_UNREADABLE_DIR = "symlink points outside the history directory", "unreadable directory"
-MONTHS = {m: i // 2 + 1 for i, m in enumerate("jan january feb february mar march apr april may may jun june jul july aug august sep september oct october nov november dec december".split())} | {"sept": 9}
+# Names of months in time stamps.
+MONTHS = {
+    "jan": 1, "january": 1,
+    "feb": 2, "february": 2,
+    "mar": 3, "march": 3,
+    "apr": 4, "april": 4,
+    "may": 5,
+    "jun": 6, "june": 6,
+    "jul": 7, "july": 7,
+    "aug": 8, "august": 8,
+    "sep": 9, "september": 9, "sept": 9,
+    "oct": 10, "october": 10,
+    "nov": 11, "november": 11,
+    "dec": 12, "december": 12,
+}
