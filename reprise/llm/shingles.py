@@ -26,6 +26,7 @@ from .simhash import majority, shingle_hashes
 MANY = 64  #: members from which a shingle is common, and pairs a member of a bucket from which it gets a further hub
 COMMON = 200_000  #: common shingles that tasks know, the most frequent first
 ROUNDS = 5  #: of hubs; after them all pairs left are compared
+BINS = 1024  #: the same, finer, of sets that are read again
 PIECES = 64  #: ranges of hashes whose shingles are counted, for a bound of similarity
 FEW = 500_000  #: keys that are broadcast
 ROWS = 256  #: texts whose shingles are held at once
@@ -78,13 +79,28 @@ def sets(docs: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """set, all (its shingles), of docs with a column set."""
+    """set, all (its shingles), bins (their numbers in BINS ranges of hashes, 255 at most), of docs with a column set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
-            yield pa.record_batch([b["set"], pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], ["set", "all"])
+            every = [np.unique(shingle_hashes(t, width)) for t in b["text"].to_pylist()]
+            bins = [np.minimum(np.bincount((x >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in every]
+            yield pa.record_batch([b["set"], pa.array([x.view(np.int64) for x in every], pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["set", "all", "bins"])
 
-    return docs.select("set", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "set long, all array<long>")
+    return docs.select("set", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "set long, all array<long>, bins binary")
+
+
+def _close(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """The pairs whose bins don't rule them out: sets differ in as many shingles as their bins at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("x", "y"))
+            most = (1 - least) / (1 + least) * (b["na"].to_numpy() + b["nb"].to_numpy()) + 1e-9
+            yield pa.record_batch([b["a"], b["b"]], ["a", "b"]).filter(pa.array(np.abs(x - y).sum(axis=1) <= most))
+
+    side = lambda c, n, x: whole.select(F.col("set").alias(c), F.size("all").alias(n), F.col("bins").alias(x))
+    return pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _meet(a: str, b: str, least: float):
@@ -105,7 +121,9 @@ def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
     open_ = maybe.select(F.col("a").alias("set")).unionByName(maybe.select(F.col("b").alias("set"))).distinct()
     where = checkpoint(known.select("set", *KEYS).join(open_, "set", "left_semi"))
     whole = checkpoint(_sets(docs.select(*KEYS, "text").join(_few(where), KEYS), width).dropDuplicates(["set"]))
-    two = maybe.join(whole.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(whole.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
+    # whole sets go with pairs that nearly have the similarity only
+    close = checkpoint(_close(maybe, whole, least))
+    two = close.join(whole.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(whole.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
     both = two.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return both.where((F.col("n") == 0) | (F.col("i") / F.greatest(F.col("n") - F.col("i"), F.lit(1)) >= least)).select("a", "b")
 
