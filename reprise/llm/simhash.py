@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_one, texts, with_key
+from .common import batches_of, checkpoint, keep_one, texts, with_key
 from .components import components
 
 BITS = 64
 MANY = 64  #: fingerprints of a bucket that are compared in pairs; others are linked another way, with the same result
 PROBES = 100  #: keys that a fingerprint is looked up under at most (tau + 1 parts of threshold 0 need tau + 1)
 CHUNK = 1 << 16  #: shingles whose bits are counted at once
+BATCH = 1024  #: whole texts that go to Python at once where near-duplicates are dropped
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -218,12 +219,13 @@ def keep_first(docs: DataFrame, width: int = 5, tau: int = 2, least: float = 0.8
     """
     from . import shingles
 
-    keyed = with_key(docs.select("doc_id", "text"))
-    found = shingles.sets(keyed, width, least)
-    nodes = checkpoint(found.groupBy("fp").agg(F.min("set").alias("set")))
-    near = links(nodes.select("fp"), tau)
-    name = lambda c: nodes.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}"))
-    pairs = near.join(name("a"), "a").join(name("b"), "b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
-    same = found.select("fp", "set").distinct().join(nodes.select("fp", F.col("set").alias("a")), "fp").where("set <> a").select("a", F.col("set").alias("b"))
-    groups_ = shingles.groups(found, keyed, width, least, pairs.unionByName(same))
-    return keep_one(docs, checkpoint(groups_))
+    with batches_of(docs.sparkSession, BATCH):
+        keyed = with_key(docs.select("doc_id", "text"))
+        found = shingles.sets(keyed, width, least)
+        nodes = checkpoint(found.groupBy("fp").agg(F.min("set").alias("set")))
+        near = links(nodes.select("fp"), tau)
+        name = lambda c: nodes.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}"))
+        pairs = near.join(name("a"), "a").join(name("b"), "b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+        same = found.select("fp", "set").distinct().join(nodes.select("fp", F.col("set").alias("a")), "fp").where("set <> a").select("a", F.col("set").alias("b"))
+        groups_ = checkpoint(shingles.groups(found, keyed, width, least, pairs.unionByName(same)))
+    return keep_one(docs, groups_)

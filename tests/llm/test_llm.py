@@ -426,6 +426,14 @@ def test_quality(docs, empty):
 
 
 
+def test_near_dedup_sends_small_batches(spark, docs, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], shingles.checkpoint
+    before = spark.conf.get(key)
+    monkeypatch.setattr(shingles, "checkpoint", lambda df: seen.append(int(spark.conf.get(key))) or write(df))
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert seen and max(seen) <= 1024 and spark.conf.get(key) == before
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as C
 
