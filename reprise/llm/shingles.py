@@ -5,6 +5,9 @@ n - ceil(t * n) + 1 of each, n being the set's size. So every pair meets in the
 the whole sets. The order is that of the hashes, with shingles that turned out common put last; the order changes the
 work only, never the result.
 
+Sets that share a shingle of their prefixes are ordered anew, rarest shingle first, counted among them. Texts made from one
+by edits of their own then have their own shingles in front, and those with too many for any partner are no candidates.
+
 Buckets aren't paired up at first: members are verified against the bucket's hub and linked into components, and only
 pairs of different components are left to compare. Crowded buckets get further hubs before that.
 """
@@ -128,6 +131,41 @@ def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
     return both.where((F.col("n") == 0) | (F.col("i") / F.greatest(F.col("n") - F.col("i"), F.lit(1)) >= least)).select("a", "b")
 
 
+def _smaller(least: float):
+    """Whether a member of a bucket can be the smaller set of a pair if its shingle is the first that they share."""
+    return F.col("n") - F.col("at") >= 2 * least / (1 + least) * F.col("n") - 1e-9
+
+
+def _met(index: DataFrame, least: float) -> DataFrame:
+    """Rows (h, set, n, at) of the buckets with two sets or more, one of which can be the smaller of a pair."""
+    bucket = Window.partitionBy("h")
+    rows = index.withColumns({"c": F.count("*").over(bucket), "some": F.max(_smaller(least)).over(bucket)})
+    return rows.where("c > 1 and some").select("h", "set", "n", "at")
+
+
+def rarest_first(index: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """index of the same sets with their shingles ordered by the number of these sets that have them.
+
+    A near pair's sets are both in index, so what no other of its sets has is shared by no pair: a set needs a share of
+    `least` of shingles that others have to be near to any. nodes: set, n, keys.
+    """
+    hashes = lambda w: _sets(docs.select(*KEYS, "text").join(_few(w), KEYS), width).select("set", F.explode("all").alias("h"))
+    # a row may be there twice, as copies share their keys: so sets of a shingle are told apart, and ranks are dense
+    ends = lambda w: hashes(w).groupBy("h").agg(F.min("set").alias("set"), F.max("set").alias("last"), F.count("*").alias("c"))
+    met = checkpoint(index.select("set").distinct())
+    where = checkpoint(nodes.select("set", "n", *KEYS).distinct().join(_few(met), "set", "left_semi"))
+    own = checkpoint(ends(where).where("set = last").groupBy("set").agg(F.count("*").alias("own")))
+    release(docs.sparkSession)
+    left = where.join(own, "set", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= least * F.col("n") - 1e-9)
+    left = checkpoint(left.select("set", "n", *KEYS))
+    rows = hashes(left).join(ends(left).where("set < last").select("h", "c"), "h")
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("set").orderBy("c", "h")))
+    rows = rows.withColumn("others", F.max("place").over(Window.partitionBy("set"))).join(_few(left.select("set", "n")), "set")
+    rows = rows.withColumn("at", F.col("n") - F.col("others") + F.col("place") - 1)
+    first = rows.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9)).select("h", "set", "n", "at").distinct()
+    return checkpoint(_met(first, least))
+
+
 def _edge(a: str, b: str):
     return [F.least(f"{a}.set", f"{b}.set").alias("a"), F.greatest(f"{a}.set", f"{b}.set").alias("b")]
 
@@ -151,7 +189,7 @@ def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
             if crowded.isEmpty():
                 break
             left = checkpoint(rooted.join(crowded, "h", "left_semi").select("h", "set", "n", "at", "root"))
-        hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.xxhash64("set", F.lit(k))).alias("x")).select("h", "x.*")
+        hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.struct(~_smaller(least), F.xxhash64("set", F.lit(k)))).alias("x")).select("h", "x.*")
         pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
         new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
         if k and new.isEmpty():
@@ -161,7 +199,8 @@ def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
         rooted, open_ = buckets()
         release(docs.sparkSession)
     left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
-    pairs = left.alias("l").join(left.alias("r"), "h").where((F.col("l.set") < F.col("r.set")) & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
+    ordered = F.struct("r.n", "r.set") < F.struct("l.n", "l.set")
+    pairs = left.alias("l").join(left.where(_smaller(least)).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
     new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
     if not new.isEmpty():
         linked = components(edges.unionByName(new)).distinct()
@@ -177,9 +216,11 @@ def groups(found: DataFrame, docs: DataFrame, width: int, least: float, pairs: D
     # one row of each set; rows are told apart by keys, so that prefixes aren't shuffled
     first = found.groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x"), F.count("*").alias("c")).where("c > 1")
     copies = checkpoint(found.select("set", *KEYS).join(first, "set").where(F.struct(*KEYS) != F.col("x")).select(*KEYS).distinct())
-    nodes = found.join(_few(copies), KEYS, "left_anti").select("set", "n", "first")
+    nodes = found.join(_few(copies), KEYS, "left_anti").select("set", "n", "first", *KEYS)
     index = nodes.select("set", "n", F.posexplode("first").alias("at", "h"))
-    index = checkpoint(index.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").select("h", "set", "n", "at"))
+    index = checkpoint(_met(index, least))
+    release(docs.sparkSession)
+    index = rarest_first(index, nodes, docs, width, least)
     release(docs.sparkSession)
     near = roots(index, found, docs, width, least, known)
     return found.select("doc_id", *KEYS, "set").join(near, "set", "left").select("doc_id", *KEYS, F.coalesce("root", "set").alias("root"))

@@ -335,6 +335,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, many):
     assert 12 < len(set(root)) < 100 and kept == set(root)
 
 
+def test_near_duplicates_compare_few_pairs_of_a_group(spark, monkeypatch):
+    """Texts made from one by edits of their own, most of them too far from all others: pairs don't grow with the square of the group."""
+    rng = np.random.default_rng(8)
+    base, rows, many = [f"w{x}" for x in range(200)], [], 150
+    for k in range(many):
+        t = list(base)
+        for at in range(int(rng.integers(0, 22)), 200, 22 if k % 10 else 100):
+            t[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(t)))
+    sets, near = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows], shingles._near
+    root = list(range(many))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    compared = []
+    monkeypatch.setattr(shingles, "_near", lambda pairs, *a: compared.append(pairs.count()) or near(pairs, *a))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert 100 < len(set(root)) < many and kept == set(root)
+    assert sum(compared) < 4 * many
+
+
 def test_near_duplicates_keep_rows_of_groups(spark, docs, empty):
     d, every = _no_ids(spark)
     kept = simhash.keep_first(d).collect()
