@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -94,3 +95,13 @@ def test_rank_decays_and_prefers_stable(spark):
     costs = spark.createDataFrame([(1, 10, 0, 0, 1.0, "measured", True), (2, 10, 0, 0, 1.0, "measured", True)], "cluster_id long, input_tokens long, output_tokens long, cache_read_tokens long, usd double, basis string, priced boolean")
     var = spark.createDataFrame([(1, 0.0), (2, 0.0)], "cluster_id long, turn_variance double")
     assert {r.cluster_id: r.score for r in rank.score(c, costs, var, "2026-09-03T18:00:00+00:00").collect()} == {1: 1.0, 2: 0.5}
+
+
+def test_vectors_read_texts_once_for_tf_and_once_for_df(spark):
+    df = spark.createDataFrame([(1, "red fox"), (1, "fox"), (2, "red"), (3, "")], "intent_ord long, normalized string")
+    v = cluster.vectors(df)
+    w = {(r.intent_ord, r.term): r.w for r in v.collect()}
+    fox, red = 2 * (math.log(5 / 2) + 1), math.log(5 / 3) + 1
+    assert math.isclose(w[1, "fox"], fox / math.hypot(fox, red)) and math.isclose(w[1, "red"], red / math.hypot(fox, red)) and w[2, "red"] == 1.0 and len(w) == 3
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin (?:Inner|Cross)", plan)) == 2  # idf and the number of asks; no norms of a second reading

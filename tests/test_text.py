@@ -64,3 +64,10 @@ def test_shell(spark):
         "git commit -m x": True, "git branch -d x": True, "git stash list": False, "git stash": True, "git": False, "ls; npm i": True, "X=1": True, "/usr/bin/cat x": False, ";": False,
     }
     assert values(spark, S.shell_is_mutating, list(cases)) == list(cases.values())
+
+
+def test_boilerplate_goes_in_any_case(spark):
+    texts = ["a Implement the plan as specified b", "DON’T STOP until you have completed all the to-dos, x", "İMPLEMENT THE PLAN AS SPECIFIED", "REaD-ONLY exploratıon of ſ", "plain plan", None]
+    want = ["a   b", " , x", " ", "  of ſ", "plain plan", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.strip_boilerplate(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == want
