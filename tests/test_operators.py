@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from reprise import queries
 from reprise.functions import text as T
 from reprise.operators import cluster, cost, rank, rediscovery
 
@@ -105,3 +106,25 @@ def test_vectors_read_texts_once_for_tf_and_once_for_df(spark):
     assert math.isclose(w[1, "fox"], fox / math.hypot(fox, red)) and math.isclose(w[1, "red"], red / math.hypot(fox, red)) and w[2, "red"] == 1.0 and len(w) == 3
     plan = v._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin (?:Inner|Cross)", plan)) == 2  # idf and the number of asks; no norms of a second reading
+
+
+def test_clusters_are_made_of_whole_texts(spark, tmp_path):
+    start, ends = " ".join(f"word{i}" for i in range(80)), [" ".join(f"{k}{i}" for i in range(2000)) for k in ("left", "right")]
+    rows = [(i, "s", f"{start} {ends[i % 2]}") for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.intent_ord: r.cluster_id for r in queries.cluster_intents(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert [r.run_count for r in queries.cluster_precision_filter(spark, str(tmp_path)).collect()] == [2, 2]
+
+
+def test_greedy_pass_with_large_and_growing_clusters(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words[:20] + words[(g % 9) * 20 : (g % 9) * 20 + 30], k=rng.choice([2, 8, 40]))) for g in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "intent_ord long, normalized string")
+    v = cluster.vectors(df).cache()
+    vectors = {}
+    for r in v.collect():
+        vectors.setdefault(r.intent_ord, {})[r.term] = r.w
+    assigned = cluster.assign(df, v)
+    assert {r.intent_ord: r.cluster_id for r in assigned.collect()} == _one_pass(vectors)
+    assert "FlatMapGroups" not in assigned._jdf.queryExecution().optimizedPlan().toString()  # no whole component in a frame of one task
