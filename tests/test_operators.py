@@ -128,3 +128,19 @@ def test_greedy_pass_with_large_and_growing_clusters(spark):
     assigned = cluster.assign(df, v)
     assert {r.intent_ord: r.cluster_id for r in assigned.collect()} == _one_pass(vectors)
     assert "FlatMapGroups" not in assigned._jdf.queryExecution().optimizedPlan().toString()  # no whole component in a frame of one task
+
+
+def test_pairs_of_a_group_meet_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(25)], k=rng.choice([1, 4, 9])))) for i in range(50)] + [(60, ""), (61, "lonely")]
+    df = spark.createDataFrame(rows, "intent_ord long, normalized string")
+    v = cluster.vectors(df).cache()
+    group = df.select("intent_ord", F.when(F.col("intent_ord") < 37, 0).when(F.col("intent_ord") < 49, 7).otherwise(F.col("intent_ord")).cast("long").alias("cluster_id"))
+    of, vectors = {r.intent_ord: r.cluster_id for r in group.collect()}, {}
+    for r in v.collect():
+        vectors.setdefault(r.intent_ord, {})[r.term] = r.w
+    want = {(of[a], a, b): sum(w * y[t] for t, w in x.items() if t in y) for a, x in vectors.items() for b, y in vectors.items() if a < b and of[a] == of[b] and x.keys() & y.keys()}
+    found = cluster.pairwise_cosine(v, group)
+    got = {(r.cluster_id, r.a, r.b): r.cosine for r in found.collect()}
+    assert got.keys() == want.keys() and found.count() == len(want) and all(math.isclose(got[k], want[k]) for k in want)
