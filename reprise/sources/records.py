@@ -165,18 +165,23 @@ def turns(recs: DataFrame) -> DataFrame:
 
 
 def tool_blocks(recs: DataFrame) -> DataFrame:
-    """session_key, ord, place, depth, b: each tool block, also those within others. place: the positions that lead to it."""
-    spark = recs.sparkSession
+    """session_key, ord, place, b: each tool block, also those within others. place: the positions that lead to it. Levels are walked within a row."""
+
+    def inner(x: Column) -> Column:
+        members = F.when(kind(x["b"]) == "OBJECT", F.map_values(F.try_variant_get(x["b"], "$", "map<string, variant>"))).otherwise(F.try_variant_get(x["b"], "$", "array<variant>"))
+        placed = F.transform(members, lambda m, i: F.struct(F.concat(x["place"], F.array(i)).alias("place"), m.alias("b")))
+        return F.filter(placed, lambda m: kind(m["b"]).isin("OBJECT", "ARRAY"))
+
+    def deeper(state: Column, _: Column) -> Column:
+        return let(F.flatten(F.transform(state["level"], inner)), lambda n: F.struct(F.concat(state["every"], n).alias("every"), n.alias("level")))
+
     some = F.lit(False)
     for name in TOOL_BLOCKS:
         some = some | F.col("line").contains(name)
-    level = recs.where(F.col("v").isNotNull() & some).select("session_key", "ord", F.array().cast("array<int>").alias("place"), F.col("v").alias("b"))
-    every = level
-    for _ in range(TOOL_DEPTH):
-        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("b").outer()))
-        level = inner.where(kind(F.col("value")).isin("OBJECT", "ARRAY")).select("session_key", "ord", F.concat("place", F.array("pos")).alias("place"), F.col("value").alias("b"))
-        every = every.unionByName(level)
-    return every.where((kind(F.col("b")) == "OBJECT") & string(at(F.col("b"), "type")).isin(*TOOL_BLOCKS))
+    top = F.array(F.struct(F.array().cast("array<int>").alias("place"), F.col("v").alias("b")))
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(TOOL_DEPTH)), F.struct(top.alias("every"), top.alias("level")), deeper, lambda s: s["every"])
+    found = F.filter(every, lambda x: (kind(x["b"]) == "OBJECT") & string(at(x["b"], "type")).isin(*TOOL_BLOCKS))
+    return recs.where(some & F.col("v").isNotNull()).select("session_key", "ord", F.inline(found))
 
 
 def _truthy(x: Column) -> Column:
@@ -188,12 +193,12 @@ def tool_calls(recs: DataFrame) -> DataFrame:
     """session_key, ord (from 1 along a session), name, path, command, input (JSON text) of each tool block."""
     b = F.col("b")
     name = F.coalesce(*[_truthy(at(b, k)) for k in ("name", "tool", "call")])
-    given = F.coalesce(_truthy(at(b, "input")), _truthy(at(b, "arguments")))
-    given = F.when(kind(given) == "OBJECT", given)
+    held = let(F.coalesce(_truthy(at(b, "input")), _truthy(at(b, "arguments"))), lambda g: F.when(kind(g) == "OBJECT", g))
+    given = F.col("given")
     path = F.coalesce(*[F.when(T.strip(string(at(given, k))) != "", T.strip(string(at(given, k)))) for k in TOOL_PATHS])
     along = Window.partitionBy("session_key").orderBy("ord", "place")
-    return tool_blocks(recs).select(
-        "session_key", F.row_number().over(along).cast("long").alias("ord"), F.coalesce(F.try_variant_get(name, "$", "string"), F.lit("tool")).alias("name"),
+    return tool_blocks(recs).select("session_key", "ord", "place", name.alias("name"), held.alias("given")).select(
+        "session_key", F.row_number().over(along).cast("long").alias("ord"), F.coalesce(F.try_variant_get("name", "$", "string"), F.lit("tool")).alias("name"),
         path.alias("path"), string(at(given, "command")).alias("command"), F.to_json(given).alias("input"),
     )
 

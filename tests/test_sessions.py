@@ -93,3 +93,14 @@ def test_nothing_to_discover(spark, tmp_path):
     found = S.discover(spark, str(tmp_path), harnesses=("codex", "other"))
     assert {tuple(r) for r in found.sources.collect()} == {("codex", "absent"), ("other", "absent")}
     assert S.lines(spark, found.files).count() == 0
+
+
+def test_tool_blocks_are_found_in_one_reading(spark):
+    leaf = {"type": "tool_use", "name": "Deep", "input": {"path": " /d "}}
+    block = {"type": "function_call", "tool": "Outer", "arguments": {"command": "ls", "more": [1, None, leaf]}}
+    lines = [json.dumps({"message": {"content": ["text", {"z": block}, {"type": "tool_call", "input": []}]}}), '{"type": "tool_use"}', "[1]", '{"a": null, "b": "tool_use"}']
+    recs = R.records(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session_key string, ord long, line string"))
+    found = R.tool_calls(recs)
+    assert [(r.ord, r.name, r.path, r.command) for r in found.orderBy("ord").collect()] == [(1, "Outer", None, "ls"), (2, "Deep", "/d", None), (3, "tool", None, None), (4, "tool", None, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("ExistingRDD") == 1
