@@ -60,12 +60,22 @@ def procedures(steps_: DataFrame) -> DataFrame:
 
 
 def columns(texts: DataFrame) -> DataFrame:
-    """cluster_id, pos, member, token, constant of (cluster_id, member, text): token i of each text, up to the shortest one's length."""
-    t = texts.select("cluster_id", "member", T.tokens(T.strip_locative(T.strip(F.col("text")))).alias("t")).where(F.size("t") > 0)
-    least = t.groupBy("cluster_id").agg(F.min(F.size("t")).alias("n"))
-    cut = t.join(least, "cluster_id").select("cluster_id", "member", F.posexplode(F.slice("t", F.lit(1), F.col("n"))).alias("pos", "token"))
-    same = cut.groupBy("cluster_id", "pos").agg((F.min("token") == F.max("token")).alias("constant"))
-    return cut.join(same, ["cluster_id", "pos"])
+    """cluster_id, member, t, first, spans of (cluster_id, member, text): spans are the runs of places, up to the shortest text's length, at which texts are all the same or aren't.
+
+    Texts are held against that of the first member, and only places that differ become rows.
+    """
+    t = texts.select("cluster_id", "member", F.explode(F.filter(F.array(T.tokens(T.strip_locative(T.strip(F.col("text"))))), lambda x: F.size(x) > 0)).alias("t")).repartition("cluster_id")
+    ends = t.groupBy("cluster_id").agg(F.min(F.size("t")).alias("n"), F.min("member").alias("first"), F.count("*").alias("members"))
+    one = t.join(ends.where("members > 1"), "cluster_id").where("member = first").select("cluster_id", "n", F.col("t").alias("model")).dropDuplicates(["cluster_id"])
+    differ = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("t", i) != F.get("model", i))
+    vary = t.join(one, "cluster_id").select("cluster_id", F.explode(differ).alias("pos")).distinct().groupBy("cluster_id").agg(F.sort_array(F.collect_list("pos")).alias("v"))
+    known = ends.join(vary, "cluster_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<int>")))
+    begins = F.filter("v", lambda x, i: (i == 0) | (F.get("v", i - 1) != x - 1))
+    after = F.transform(F.filter("v", lambda x, i: F.coalesce(F.get("v", i + 1) != x + 1, F.lit(True)) & (x + 1 < F.col("n"))), lambda x: x + 1)
+    known = known.withColumn("at", F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0)), begins, after))))
+    same = ~F.coalesce(F.get("v", F.lit(0)) == 0, F.lit(False))  # of the first span; kinds take turns
+    spans = F.transform("at", lambda x, k: F.struct(k.cast("long").alias("span"), ((k % 2 == 0) == same).alias("constant"), x.alias("at"), (F.coalesce(F.get("at", k + 1), F.col("n")) - x).alias("n")))
+    return t.join(known.select("cluster_id", "first", spans.alias("spans")), "cluster_id")
 
 
 def param_kind(c: Column) -> Column:
@@ -83,11 +93,9 @@ def slots(columns_: DataFrame) -> DataFrame:
     kind is the commonest of the different fillings' kinds, the earliest of equals; examples are the first fillings, or
     the one text.
     """
-    along = Window.partitionBy("cluster_id", "member").orderBy("pos")
-    changed = (F.lag("constant").over(along) != F.col("constant")).cast("int")
-    spans = columns_.withColumn("span", F.sum(F.coalesce(changed, F.lit(0))).over(along))
-    filled = spans.groupBy("cluster_id", "span", "constant", "member").agg(F.min("pos").alias("at"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("filling"))
-    different = filled.groupBy("cluster_id", "span", "constant", "at", "filling").agg(F.min("member").alias("member")).withColumn("kind", param_kind(F.col("filling")))
+    told = F.filter("spans", lambda s: ~s["constant"] | (F.col("member") == F.col("first")))  # a text that all have is told by one
+    filled = columns_.select("cluster_id", "member", F.inline(F.transform(told, lambda s: F.struct(s["span"].alias("span"), s["constant"].alias("constant"), s["at"].alias("at"), F.array_join(F.slice("t", s["at"] + 1, s["n"]), " ").alias("filling")))))
+    different = filled.groupBy("cluster_id", "span", "constant", "at", "filling").agg(F.min("member").alias("member")).withColumn("kind", F.when(~F.col("constant"), param_kind(F.col("filling"))))
     kinds = different.groupBy("cluster_id", "span", "kind").agg(F.count("*").alias("n"), F.min("member").alias("m")).groupBy("cluster_id", "span").agg(F.max_by("kind", F.struct("n", -F.col("m"))).alias("kind"))
     place = F.row_number().over(Window.partitionBy("cluster_id", "span").orderBy("member"))
     shown = different.drop("kind").withColumn("n", place).where(F.col("n") <= EXAMPLES).groupBy("cluster_id", "span", "constant", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "filling"))), lambda x: x["filling"]).alias("examples"))

@@ -34,3 +34,14 @@ def test_verdicts(spark):
     assert of([]) == of(["absent"] * 3) == V.NO_HISTORY
     assert of(["found", "unreadable: no"]) == of(["found"], skipped=1) == of(["found"], malformed=1) == of(["found"], truncated=True) == V.PARTIAL
     assert (of(["found"], sessions=2), of(["found"], candidates=1), of(["found"])) == (V.INSUFFICIENT, V.REPEATED, V.NULL)
+
+
+def test_slots_make_rows_of_differing_places_alone(spark):
+    texts = [("one", 5, "a b c d"), ("two", 1, "x same y same same"), ("two", 2, "x same z same other tail"), ("all", 1, "p q"), ("all", 2, "r s t"), ("copy", 1, "k l"), ("copy", 2, "k l"), ("none", 1, " ")]
+    columns = G.columns(spark.createDataFrame(texts, "cluster_id string, member int, text string"))
+    assert columns.count() == 7  # a row a text, not a token
+    got = {(r.cluster_id, r.span): (r.constant, r.at, r.examples) for r in G.slots(columns).collect()}
+    assert got == {
+        ("one", 0): (True, 0, ["a b c d"]), ("two", 0): (True, 0, ["x same"]), ("two", 1): (False, 2, ["y", "z"]), ("two", 2): (True, 3, ["same"]), ("two", 3): (False, 4, ["same", "other"]),
+        ("all", 0): (False, 0, ["p q", "r s"]), ("copy", 0): (True, 0, ["k l"]),
+    }
