@@ -29,9 +29,12 @@ from .simhash import majority, shingle_hashes
 MANY = 64  #: members from which a shingle is common, and pairs a member of a bucket from which it gets a further hub
 COMMON = 200_000  #: common shingles that tasks know, the most frequent first
 ROUNDS = 5  #: of hubs; after them all pairs left are compared
+STALLED = 2 / 3  #: of the pairs in crowded buckets are left after a round: further hubs would rule out as few
+EARLIER = 16  #: buckets of a set that its row in a bucket knows
 BINS = 1024  #: the same, finer, of sets that are read again
 PIECES = 64  #: ranges of hashes whose shingles are counted, for a bound of similarity
 FEW = 500_000  #: keys that are broadcast
+FIRST = -(1 << 61)  #: hashes (as signed longs) below it are looked at first: three eighths of all
 ROWS = 256  #: texts whose shingles are held at once
 KEYS = ["__k1", "__k2"]
 
@@ -112,17 +115,25 @@ def _meet(a: str, b: str, least: float):
     return F.least(left(a), left(b)) >= least / (1 + least) * (na + nb) - 1e-9
 
 
-def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is least or more. Counts rule out most others, whole sets decide. pairs: checkpointed."""
-    need = checkpoint(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct())
+def _alike(x: str, y: str, na: str, nb: str, least: float):
+    """Whether sets of na and nb shingles can be near enough by their counts in ranges x and y: they differ in as many shingles at least."""
+    apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    return apart <= (1 - least) / (1 + least) * (F.col(na) + F.col(nb)) + 1e-9
+
+
+def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float, counted: bool = False) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is least or more. Counts rule out most others (counted: they have), whole sets decide. pairs: checkpointed."""
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    need = checkpoint(ends(pairs))
     known = found.join(_few(need), "set", "left_semi").select("set", "n", "counts", *KEYS).dropDuplicates(["set"])
-    known = checkpoint(known)
-    side = lambda c, n, x: known.select(F.col("set").alias(c), F.col("n").alias(n), F.col("counts").alias(x))
-    one = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    maybe = checkpoint(one.where(apart <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
-    open_ = maybe.select(F.col("a").alias("set")).unionByName(maybe.select(F.col("b").alias("set"))).distinct()
-    where = checkpoint(known.select("set", *KEYS).join(open_, "set", "left_semi"))
+    if counted:
+        maybe, where = pairs, checkpoint(known.select("set", *KEYS))
+    else:
+        known = checkpoint(known)
+        side = lambda c, n, x: known.select(F.col("set").alias(c), F.col("n").alias(n), F.col("counts").alias(x))
+        one = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
+        maybe = checkpoint(one.where(_alike("x", "y", "na", "nb", least)).select("a", "b"))
+        where = checkpoint(known.select("set", *KEYS).join(ends(maybe), "set", "left_semi"))
     whole = checkpoint(_sets(docs.select(*KEYS, "text").join(_few(where), KEYS), width).dropDuplicates(["set"]))
     # whole sets go with pairs that nearly have the similarity only
     close = checkpoint(_close(maybe, whole, least))
@@ -151,14 +162,16 @@ def rarest_first(index: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
     """
     hashes = lambda w: _sets(docs.select(*KEYS, "text").join(_few(w), KEYS), width).select("set", F.explode("all").alias("h"))
     # a row may be there twice, as copies share their keys: so sets of a shingle are told apart, and ranks are dense
-    ends = lambda w: hashes(w).groupBy("h").agg(F.min("set").alias("set"), F.max("set").alias("last"), F.count("*").alias("c"))
+    ends = lambda rows: rows.groupBy("h").agg(F.min("set").alias("set"), F.max("set").alias("last"), F.count("*").alias("c"))
     met = checkpoint(index.select("set").distinct())
-    where = checkpoint(nodes.select("set", "n", *KEYS).distinct().join(_few(met), "set", "left_semi"))
-    own = checkpoint(ends(where).where("set = last").groupBy("set").agg(F.count("*").alias("own")))
-    release(docs.sparkSession)
-    left = where.join(own, "set", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= least * F.col("n") - 1e-9)
-    left = checkpoint(left.select("set", "n", *KEYS))
-    rows = hashes(left).join(ends(left).where("set < last").select("h", "c"), "h")
+    left = checkpoint(nodes.select("set", "n", *KEYS).distinct().join(_few(met), "set", "left_semi"))
+    # what a set has alone in a part of the hashes is enough to rule out most, so that all shingles of few sets are dealt out
+    for part in (F.col("h") < FIRST, F.lit(True)):
+        own = checkpoint(ends(hashes(left).where(part)).where("set = last").groupBy("set").agg(F.count("*").alias("own")))
+        release(docs.sparkSession)
+        left = left.join(own, "set", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= least * F.col("n") - 1e-9)
+        left = checkpoint(left.select("set", "n", *KEYS))
+    rows = hashes(left).join(ends(hashes(left)).where("set < last").select("h", "c"), "h")
     rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("set").orderBy("c", "h")))
     rows = rows.withColumn("others", F.max("place").over(Window.partitionBy("set"))).join(_few(left.select("set", "n")), "set")
     rows = rows.withColumn("at", F.col("n") - F.col("others") + F.col("place") - 1)
@@ -170,38 +183,49 @@ def _edge(a: str, b: str):
     return [F.least(f"{a}.set", f"{b}.set").alias("a"), F.greatest(f"{a}.set", f"{b}.set").alias("b")]
 
 
-def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float, known: DataFrame) -> DataFrame:
+def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float, maybe: DataFrame) -> DataFrame:
     """set, root (the smallest set that it is linked to by pairs of similarity least or more), for sets with a pair.
 
-    index: h, set, n, at (place of h in the set's prefix), of shingles h in more than one prefix. known: pairs that are near.
+    index: h, set, n, at (place of h in the set's prefix), of shingles h in more than one prefix. maybe: further pairs that may be near;
+    they are verified with those of the first hubs.
     """
 
     def buckets() -> tuple[DataFrame, DataFrame]:
-        """(index with the root of each set; of buckets with pairs of different components, whether they have too many to compare)."""
+        """(index with the root of each set; of buckets with pairs of different components: these pairs, whether they are too many to compare)."""
         rooted = index.join(linked.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         counts = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        return rooted, checkpoint(counts.where("n * n > own").select("h", (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
+        return rooted, checkpoint(counts.where("n * n > own").select("h", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
 
-    edges, linked, left = known, None, index.withColumn("root", F.col("set"))
+    size, before, edges, linked, left = index.count(), math.inf, None, None, index.withColumn("root", F.col("set"))
     for k in range(ROUNDS):
         if k:
-            crowded = open_.where("crowded").select("h")
-            if crowded.isEmpty():
+            crowded = open_.where("crowded")
+            now = crowded.agg(F.sum("pairs")).first()[0] or 0
+            if now <= size or now > STALLED * before:
                 break
-            left = checkpoint(rooted.join(crowded, "h", "left_semi").select("h", "set", "n", "at", "root"))
+            before = now
+            left = checkpoint(rooted.join(crowded.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
         hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.struct(~_smaller(least), F.xxhash64("set", F.lit(k)))).alias("x")).select("h", "x.*")
-        pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
+        pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r"))
+        pairs = (pairs if k else pairs.unionByName(maybe)).distinct()
         new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
         if k and new.isEmpty():
             break
-        edges = edges.unionByName(new)
+        edges = edges.unionByName(new) if k else new
         linked = checkpoint(components(edges).distinct())
         rooted, open_ = buckets()
         release(docs.sparkSession)
+    # pairs aren't made where counts rule them out, nor in a bucket after one that both sets are in (the last EARLIER of a set are known)
     left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
+    counts = found.join(_few(checkpoint(left.select("set").distinct())), "set", "left_semi").select("set", "counts").dropDuplicates(["set"])
+    before = F.collect_list("h").over(Window.partitionBy("set").orderBy("at").rowsBetween(-EARLIER, -1))
+    left = checkpoint(left.withColumn("earlier", before).join(counts, "set"))
+    release(docs.sparkSession)
     ordered = F.struct("r.n", "r.set") < F.struct("l.n", "l.set")
-    pairs = left.alias("l").join(left.where(_smaller(least)).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r")).distinct()
-    new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
+    pairs = left.alias("l").join(left.where(_smaller(least)).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least) & ~F.arrays_overlap("l.earlier", "r.earlier") & _alike("l.counts", "r.counts", "l.n", "r.n", least)).select(*_edge("l", "r")).distinct()
+    pairs = checkpoint(pairs)
+    release(docs.sparkSession)
+    new = checkpoint(_near(pairs, found, docs, width, least, True))
     if not new.isEmpty():
         linked = components(edges.unionByName(new)).distinct()
     return linked.select(F.col("node").alias("set"), "root")
@@ -210,9 +234,8 @@ def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
 def groups(found: DataFrame, docs: DataFrame, width: int, least: float, pairs: DataFrame) -> DataFrame:
     """doc_id, keys, root: documents have the same root if pairs with a similarity of least or more connect them.
 
-    found: :func:`sets` of docs; pairs: (a, b) of sets that may be near, which are verified and linked first.
+    found: :func:`sets` of docs; pairs: (a, b) of sets that may be near.
     """
-    known = checkpoint(_near(checkpoint(pairs.distinct()), found, docs, width, least))
     # one row of each set; rows are told apart by keys, so that prefixes aren't shuffled
     first = found.groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x"), F.count("*").alias("c")).where("c > 1")
     copies = checkpoint(found.select("set", *KEYS).join(first, "set").where(F.struct(*KEYS) != F.col("x")).select(*KEYS).distinct())
@@ -222,5 +245,5 @@ def groups(found: DataFrame, docs: DataFrame, width: int, least: float, pairs: D
     release(docs.sparkSession)
     index = rarest_first(index, nodes, docs, width, least)
     release(docs.sparkSession)
-    near = roots(index, found, docs, width, least, known)
+    near = roots(index, found, docs, width, least, pairs)
     return found.select("doc_id", *KEYS, "set").join(near, "set", "left").select("doc_id", *KEYS, F.coalesce("root", "set").alias("root"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reprise.llm import decontamination, lm, mixing, quality, secrets, shingles, simhash, substrings, tokens, toxicity, urls
+from reprise.llm import common, decontamination, lm, mixing, quality, secrets, shingles, simhash, substrings, tokens, toxicity, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 COPY = " ".join(f"word{i}" for i in range(60))
@@ -358,6 +358,57 @@ def test_near_duplicates_compare_few_pairs_of_a_group(spark, monkeypatch):
     assert sum(compared) < 4 * many
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_few_edges_equal_those_of_many(spark, monkeypatch, few):
+    from reprise.llm import components as C
+
+    monkeypatch.setattr(C, "FEW", few)
+    edges = np.random.default_rng(3).integers(-40, 40, (45, 2)).tolist() + [[k, k + 1] for k in range(100, 160)] + [[7, 7], [900, 900]]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in (e for e in edges if e[0] != e[1]):
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    got = C.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == root and len(got) == len(root) and len(set(root.values())) > 2
+    assert C.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_near_duplicates_of_own_words_are_ruled_out_by_part_of_their_shingles(spark, monkeypatch):
+    """Texts with a line in common and else words of their own: what they have alone is never dealt out at once."""
+    line = " and a line that all of these texts share with each other"
+    rows = [(k, " ".join(f"own{k}x{i}" for i in range(100)) + line) for k in range(40)]
+    counted, write = [], shingles.checkpoint
+    monkeypatch.setattr(shingles, "checkpoint", lambda df: (lambda d: (counted.append(d.agg(F.sum("own")).first()[0] or 0) if "own" in d.columns else None) or d)(write(df)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = shingles.sets(common.with_key(d), 5, 0.8)
+    nodes = found.select("set", "n", "first", "__k1", "__k2")
+    index = nodes.select("set", "n", F.lit(0).alias("at"), F.lit(1).cast("long").alias("h"))
+    assert shingles.rarest_first(index, nodes, common.with_key(d), 5, 0.8).count() == 0
+    assert counted and max(counted) < 0.5 * 40 * 100 and sum(counted) < 0.5 * 40 * 100
+
+
+def test_near_duplicates_stop_rounds_that_rule_out_little(spark, monkeypatch):
+    """Texts of a group, each too far from all others: hubs rule out no pairs, and counts go into the join that compares the rest."""
+    monkeypatch.setattr(shingles, "MANY", 1)
+    base, rows = [f"w{x}" for x in range(200)], []
+    for k in range(60):
+        t = list(base)
+        for at in range(k % 20, 200, 20):
+            t[at] = f"e{k // 3}x{at}" if k % 3 else f"own{k}x{at}"
+        rows.append((k, " ".join(t)))
+    calls, near = [], shingles._near
+    monkeypatch.setattr(shingles, "_near", lambda pairs, *a, **k: calls.append(pairs.count()) or near(pairs, *a, **k))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(60))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(root) and len(calls) <= 3
+
+
 def test_near_duplicates_keep_rows_of_groups(spark, docs, empty):
     d, every = _no_ids(spark)
     kept = simhash.keep_first(d).collect()
