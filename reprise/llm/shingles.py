@@ -9,7 +9,9 @@ Sets that share a shingle of their prefixes are ordered anew, rarest shingle fir
 by edits of their own then have their own shingles in front, and those with too many for any partner are no candidates.
 
 Buckets aren't paired up at first: members are verified against the bucket's hub and linked into components, and only
-pairs of different components are left to compare. Crowded buckets get further hubs before that.
+pairs of different components are left to compare. Crowded buckets get further hubs before that. Sets that still crowd
+them are then told apart by what each has beyond, or lacks of, the shingles that most of them have: of these differences
+near sets share many, and others few, whereas all share the usual shingles.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,10 +112,14 @@ def _close(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _meet(a: str, b: str, least: float):
+def _bar(least: float):
+    """2 * least / (1 + least) of a set's shingles: near sets share half the sum of theirs or more."""
+    return (2 * least / (1 + least) * F.col("n")).alias("bar")
+
+
+def _meet(a: str, b: str):
     """Whether members a and b of a bucket can be near enough if its shingle is the first that they share."""
-    na, nb, left = F.col(f"{a}.n"), F.col(f"{b}.n"), lambda x: F.col(f"{x}.n") - F.col(f"{x}.at")
-    return F.least(left(a), left(b)) >= least / (1 + least) * (na + nb) - 1e-9
+    return F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) >= (F.col(f"{a}.bar") + F.col(f"{b}.bar")) / 2 - 1e-9
 
 
 def _alike(x: str, y: str, na: str, nb: str, least: float):
@@ -142,16 +149,16 @@ def _near(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int, least
     return both.where((F.col("n") == 0) | (F.col("i") / F.greatest(F.col("n") - F.col("i"), F.lit(1)) >= least)).select("a", "b")
 
 
-def _smaller(least: float):
-    """Whether a member of a bucket can be the smaller set of a pair if its shingle is the first that they share."""
-    return F.col("n") - F.col("at") >= 2 * least / (1 + least) * F.col("n") - 1e-9
+def _smaller():
+    """Whether a member of a bucket can be the one of the smaller bar of a pair if its shingle is the first that they share."""
+    return F.col("rest") >= F.col("bar") - 1e-9
 
 
-def _met(index: DataFrame, least: float) -> DataFrame:
-    """Rows (h, set, n, at) of the buckets with two sets or more, one of which can be the smaller of a pair."""
+def _met(index: DataFrame) -> DataFrame:
+    """Rows (h, set, rest, bar) of the buckets with two sets or more, one of which can be the smaller of a pair."""
     bucket = Window.partitionBy("h")
-    rows = index.withColumns({"c": F.count("*").over(bucket), "some": F.max(_smaller(least)).over(bucket)})
-    return rows.where("c > 1 and some").select("h", "set", "n", "at")
+    rows = index.withColumns({"c": F.count("*").over(bucket), "some": F.max(_smaller()).over(bucket)})
+    return rows.where("c > 1 and some").select("h", "set", "rest", "bar")
 
 
 def rarest_first(index: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
@@ -175,54 +182,122 @@ def rarest_first(index: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
     rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("set").orderBy("c", "h")))
     rows = rows.withColumn("others", F.max("place").over(Window.partitionBy("set"))).join(_few(left.select("set", "n")), "set")
     rows = rows.withColumn("at", F.col("n") - F.col("others") + F.col("place") - 1)
-    first = rows.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9)).select("h", "set", "n", "at").distinct()
-    return checkpoint(_met(first, least))
+    first = rows.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9)).select("h", "set", (F.col("n") - F.col("at")).alias("rest"), _bar(least)).distinct()
+    return checkpoint(_met(first))
+
+
+def _edge(a: str, b: str):
+    return [F.least(f"{a}.set", f"{b}.set").alias("a"), F.greatest(f"{a}.set", f"{b}.set").alias("b")]
+
+
+def _usual(whole: DataFrame) -> DataFrame:
+    """home, usual: the shingles that more than half of a home's sets have, which are fewer than two sets' on average. whole: set, home, all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = b["home"].take(pc.list_parent_indices(b["all"]))
+            sums = pa.table({"home": of, "h": pc.list_flatten(b["all"])}).group_by(["home", "h"]).aggregate([([], "count_all")])
+            yield from sums.rename_columns(["home", "h", "c"]).combine_chunks().to_batches()
+
+    sizes = whole.groupBy("home").agg(F.count("*").alias("m"))
+    counts = whole.select("home", "all").mapInArrow(run, "home long, h long, c long").groupBy("home", "h").agg(F.sum("c").alias("c"))
+    usual = checkpoint(counts.join(sizes, "home").where("2 * c > m").groupBy("home").agg(F.collect_list("h").alias("usual")))
+    return F.broadcast(usual) if (usual.agg(F.sum(F.size("usual"))).first()[0] or 0) <= FEW else usual
+
+
+def differences(crowded: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(set, home; an index of their pairs within each home, as in :func:`roots`; further pairs that may be near).
+
+    Sets that crowded buckets (rows h, set) connect are of one home. The difference D of a set is what it has beyond the home's
+    usual shingles, and what it lacks of them. Two sets differ in |D1| + |D2| - 2 |D1 and D2| shingles, so near ones share half the
+    sum of their bars, |D| - (1 - least) / (1 + least) n, or more. Two whose sum is 0 or less needn't share any; then both
+    have such a sum with the set of the least bar too, and are near to it: these are the further pairs. Sets that aren't
+    closer to the usual shingles than to none have no home.
+    """
+    hubs = crowded.groupBy("h").agg(F.min("set").alias("b"))
+    home = checkpoint(components(crowded.join(hubs, "h").select(F.col("set").alias("a"), "b").distinct()).distinct().select(F.col("node").alias("set"), F.col("root").alias("home")))
+    where = checkpoint(nodes.select("set", *KEYS).distinct().join(_few(home), "set", "left_semi"))
+    whole = checkpoint(_sets(docs.select(*KEYS, "text").join(_few(where), KEYS), width).join(_few(home), "set").select("set", "home", "all").dropDuplicates(["set"]))
+    usual = F.coalesce("usual", F.array().cast("array<long>"))
+    beyond, lacks = F.array_except("all", usual), F.transform(F.array_except(usual, "all"), F.bitwise_not)
+    apart = whole.join(_usual(whole), "home", "left").select("home", "set", F.size("all").alias("n"), F.concat(beyond, lacks).alias("d"))
+    apart = checkpoint(apart.withColumn("bar", F.size("d") - (1 - least) / (1 + least) * F.col("n")).where(F.size("d") < F.col("n")))
+    lowest = checkpoint(apart.groupBy("home").agg(F.min(F.struct("bar", "set")).alias("x")).select("home", F.col("x.bar").alias("low"), F.col("x.set").alias("b")))
+    core = apart.join(_few(lowest), "home").where((F.col("set") != F.col("b")) & (F.col("bar") + F.col("low") <= 1e-9)).select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b"))
+    # rarest first; what a set alone has comes before all others
+    rows = apart.select("set", "home", "bar", F.explode("d").alias("x")).select("set", "home", "bar", F.xxhash64("home", "x").alias("h"))
+    rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
+    rows = rows.withColumn("rest", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("c"), F.desc("h")))).join(_few(lowest), "home")
+    index = rows.where(F.col("rest") >= (F.col("bar") + F.col("low")) / 2 - 1e-9).select("h", "set", "rest", "bar")
+    return apart.select("set", "home"), checkpoint(_met(index)), checkpoint(core)
 
 
 def _edge(a: str, b: str):
     return [F.least(f"{a}.set", f"{b}.set").alias("a"), F.greatest(f"{a}.set", f"{b}.set").alias("b")]
 
 
-def roots(index: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float, maybe: DataFrame) -> DataFrame:
+def roots(index: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: float, maybe: DataFrame) -> DataFrame:
     """set, root (the smallest set that it is linked to by pairs of similarity least or more), for sets with a pair.
 
-    index: h, set, n, at (place of h in the set's prefix), of shingles h in more than one prefix. maybe: further pairs that may be near;
-    they are verified with those of the first hubs.
+    index: h, set, rest, bar (see :func:`_bar`), of shingles h in more than one prefix; rest: the set's shingles from h on that others have.
+    maybe: further pairs that may be near; they are verified with those of the first hubs. nodes: set, keys.
     """
+    edges = linked = None
 
-    def buckets() -> tuple[DataFrame, DataFrame]:
+    def buckets(index: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(index with the root of each set; of buckets with pairs of different components: these pairs, whether they are too many to compare)."""
         rooted = index.join(linked.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         counts = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
         return rooted, checkpoint(counts.where("n * n > own").select("h", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), (F.col("n") * F.col("n") - F.col("own") > 2 * MANY * F.col("n")).alias("crowded")))
 
-    size, before, edges, linked, left = index.count(), math.inf, None, None, index.withColumn("root", F.col("set"))
-    for k in range(ROUNDS):
-        if k:
-            crowded = open_.where("crowded")
-            now = crowded.agg(F.sum("pairs")).first()[0] or 0
-            if now <= size or now > STALLED * before:
+    def rounds(index: DataFrame, maybe: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What buckets returns after rounds of hubs."""
+        nonlocal edges, linked
+        size, before = index.count(), math.inf
+        left = index.withColumn("root", F.col("set")) if linked is None else buckets(index)[0]
+        for k in range(ROUNDS):
+            if k:
+                crowded = open_.where("crowded")
+                now = crowded.agg(F.sum("pairs")).first()[0] or 0
+                if now <= size or now > STALLED * before:
+                    break
+                before = now
+                left = checkpoint(rooted.join(crowded.select("h"), "h", "left_semi").select("h", "set", "rest", "bar", "root"))
+            hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "rest", "bar", "root"), F.struct(~_smaller(), F.xxhash64("set", F.lit(k)))).alias("x")).select("h", "x.*")
+            pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r")).select(*_edge("l", "r"))
+            pairs = (pairs if k else pairs.unionByName(maybe)).distinct()
+            new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
+            if k and new.isEmpty():
                 break
-            before = now
-            left = checkpoint(rooted.join(crowded.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
-        hubs = left.groupBy("h").agg(F.min_by(F.struct("set", "n", "at", "root"), F.struct(~_smaller(least), F.xxhash64("set", F.lit(k)))).alias("x")).select("h", "x.*")
-        pairs = left.alias("l").join(hubs.alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & _meet("l", "r", least)).select(*_edge("l", "r"))
-        pairs = (pairs if k else pairs.unionByName(maybe)).distinct()
-        new = checkpoint(_near(checkpoint(pairs), found, docs, width, least))
-        if k and new.isEmpty():
-            break
-        edges = edges.unionByName(new) if k else new
-        linked = checkpoint(components(edges).distinct())
-        rooted, open_ = buckets()
+            edges = new if edges is None else edges.unionByName(new)
+            linked = checkpoint(components(edges).distinct())
+            rooted, open_ = buckets(index)
+            release(docs.sparkSession)
+        return rooted, open_
+
+    rooted, open_ = rounds(index, maybe)
+    left = rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "rest", "bar", "root", F.lit(None).cast("long").alias("home"), F.lit(0).alias("kind"))
+    crowded = open_.where("crowded")
+    if not crowded.isEmpty():
+        home, inner, core = differences(checkpoint(rooted.join(crowded.select("h"), "h", "left_semi").select("h", "set")), nodes, docs, width, least)
         release(docs.sparkSession)
+        apart, still = rounds(inner, core)
+        # pairs within a home meet by their differences, all others as before
+        rooted, open_ = buckets(index)
+        outer = rooted.join(open_.select("h"), "h", "left_semi").join(_few(home), "set", "left")
+        other, bucket = F.coalesce("home", "set"), Window.partitionBy("h")
+        outer = outer.withColumns({"x": F.min(other).over(bucket), "y": F.max(other).over(bucket)}).where("x < y").withColumn("kind", F.lit(0))
+        apart = apart.join(still.select("h"), "h", "left_semi").withColumns({"home": F.lit(None).cast("long"), "kind": F.lit(1)})
+        columns = ["h", "set", "rest", "bar", "root", "home", "kind"]
+        left = outer.select(columns).unionByName(apart.select(columns))
     # pairs aren't made where counts rule them out, nor in a bucket after one that both sets are in (the last EARLIER of a set are known)
-    left = checkpoint(rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "n", "at", "root"))
-    counts = found.join(_few(checkpoint(left.select("set").distinct())), "set", "left_semi").select("set", "counts").dropDuplicates(["set"])
-    before = F.collect_list("h").over(Window.partitionBy("set").orderBy("at").rowsBetween(-EARLIER, -1))
+    left = checkpoint(left)
+    counts = found.join(_few(checkpoint(left.select("set").distinct())), "set", "left_semi").select("set", "n", "counts").dropDuplicates(["set"])
+    before = F.collect_list("h").over(Window.partitionBy("set", "kind").orderBy(F.desc("rest")).rowsBetween(-EARLIER, -1))
     left = checkpoint(left.withColumn("earlier", before).join(counts, "set"))
     release(docs.sparkSession)
-    ordered = F.struct("r.n", "r.set") < F.struct("l.n", "l.set")
-    pairs = left.alias("l").join(left.where(_smaller(least)).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r", least) & ~F.arrays_overlap("l.earlier", "r.earlier") & _alike("l.counts", "r.counts", "l.n", "r.n", least)).select(*_edge("l", "r")).distinct()
+    ordered = (F.struct("r.bar", "r.set") < F.struct("l.bar", "l.set")) & F.coalesce(F.col("l.home") != F.col("r.home"), F.lit(True))
+    pairs = left.alias("l").join(left.where(_smaller()).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r") & ~F.arrays_overlap("l.earlier", "r.earlier") & _alike("l.counts", "r.counts", "l.n", "r.n", least)).select(*_edge("l", "r")).distinct()
     pairs = checkpoint(pairs)
     release(docs.sparkSession)
     new = checkpoint(_near(pairs, found, docs, width, least, True))
@@ -240,10 +315,10 @@ def groups(found: DataFrame, docs: DataFrame, width: int, least: float, pairs: D
     first = found.groupBy("set").agg(F.min(F.struct(*KEYS)).alias("x"), F.count("*").alias("c")).where("c > 1")
     copies = checkpoint(found.select("set", *KEYS).join(first, "set").where(F.struct(*KEYS) != F.col("x")).select(*KEYS).distinct())
     nodes = found.join(_few(copies), KEYS, "left_anti").select("set", "n", "first", *KEYS)
-    index = nodes.select("set", "n", F.posexplode("first").alias("at", "h"))
-    index = checkpoint(_met(index, least))
+    index = nodes.select("set", "n", F.posexplode("first").alias("at", "h")).select("h", "set", (F.col("n") - F.col("at")).alias("rest"), _bar(least))
+    index = checkpoint(_met(index))
     release(docs.sparkSession)
     index = rarest_first(index, nodes, docs, width, least)
     release(docs.sparkSession)
-    near = roots(index, found, docs, width, least, pairs)
+    near = roots(index, nodes, found, docs, width, least, pairs)
     return found.select("doc_id", *KEYS, "set").join(near, "set", "left").select("doc_id", *KEYS, F.coalesce("root", "set").alias("root"))

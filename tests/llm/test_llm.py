@@ -409,6 +409,30 @@ def test_near_duplicates_stop_rounds_that_rule_out_little(spark, monkeypatch):
     assert kept == set(root) and len(calls) <= 3
 
 
+def test_near_duplicates_of_one_text_meet_by_what_sets_them_apart(spark, monkeypatch):
+    """Texts made from one by a few edits each, most of them far from all others: pairs grow with the number of texts, not with its square."""
+    monkeypatch.setattr(shingles, "MANY", 4)
+    rng, base, compared, near = np.random.default_rng(8), [f"w{x}" for x in range(150)], [], shingles._near
+    monkeypatch.setattr(shingles, "_near", lambda pairs, *a, **k: compared.append(pairs.count()) or near(pairs, *a, **k))
+    rows = []
+    for k in range(240):
+        t = list(base)
+        for at in rng.choice(150, 3 + k % 2, replace=False):
+            t[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(t)))
+    rows += [(240, " ".join(base[:120])), (241, "and other words " + " ".join(base[30:110])), (242, " ".join(base[:40]))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(root) and 100 < len(kept) < 240
+    assert sum(compared) < 6 * len(rows), compared
+
+
 def test_near_duplicates_keep_rows_of_groups(spark, docs, empty):
     d, every = _no_ids(spark)
     kept = simhash.keep_first(d).collect()
