@@ -36,6 +36,7 @@ STALLED = 2 / 3  #: of the pairs in crowded buckets are left after a round: furt
 EARLIER = 16  #: buckets of a set that its row in a bucket knows
 BINS = 1024  #: the same, finer, of sets that are read again
 PIECES = 64  #: ranges of hashes whose shingles are counted, for a bound of similarity
+WORDS = 16  #: of 64 bits each, that tell differences apart
 FEW = 500_000  #: keys that are broadcast
 FIRST = -(1 << 61)  #: hashes (as signed longs) below it are looked at first: three eighths of all
 ROWS = 256  #: texts whose shingles are held at once
@@ -206,7 +207,9 @@ def _usual(whole: DataFrame) -> DataFrame:
 
 
 def differences(crowded: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(set, home; an index of their pairs within each home, as in :func:`roots`; further pairs that may be near).
+    """(set, home, bits; an index of the pairs within each home, as in :func:`roots`; further pairs that may be near).
+
+    bits: whether a set has an odd number of differences, by parts of their values. Two sets differ in as many shingles as bits at least.
 
     Sets that crowded buckets (rows h, set) connect are of one home. The difference D of a set is what it has beyond the home's
     usual shingles, and what it lacks of them. Two sets differ in |D1| + |D2| - 2 |D1 and D2| shingles, so near ones share half the
@@ -229,7 +232,10 @@ def differences(crowded: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
     rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
     rows = rows.withColumn("rest", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("c"), F.desc("h")))).join(_few(lowest), "home")
     index = rows.where(F.col("rest") >= (F.col("bar") + F.col("low")) / 2 - 1e-9).select("h", "set", "rest", "bar")
-    return apart.select("set", "home"), checkpoint(_met(index)), checkpoint(core)
+    word = lambda k: F.filter("d", lambda x: F.pmod(F.shiftright(x, 6), F.lit(WORDS)) == k)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    bits = F.array(*[F.aggregate(word(k), F.lit(0).cast("long"), lambda total, x: total.bitwiseXOR(bit(x))) for k in range(WORDS)])
+    return checkpoint(apart.select("set", "home", bits.alias("bits"))), checkpoint(_met(index)), checkpoint(core)
 
 
 def _edge(a: str, b: str):
@@ -276,7 +282,7 @@ def roots(index: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame,
         return rooted, open_
 
     rooted, open_ = rounds(index, maybe)
-    left = rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "rest", "bar", "root", F.lit(None).cast("long").alias("home"), F.lit(0).alias("kind"))
+    left = rooted.join(open_.select("h"), "h", "left_semi").select("h", "set", "rest", "bar", "root", F.lit(None).cast("long").alias("home"), F.lit(0).alias("kind"), F.array().cast("array<long>").alias("bits"))
     crowded = open_.where("crowded")
     if not crowded.isEmpty():
         home, inner, core = differences(checkpoint(rooted.join(crowded.select("h"), "h", "left_semi").select("h", "set")), nodes, docs, width, least)
@@ -284,11 +290,11 @@ def roots(index: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame,
         apart, still = rounds(inner, core)
         # pairs within a home meet by their differences, all others as before
         rooted, open_ = buckets(index)
-        outer = rooted.join(open_.select("h"), "h", "left_semi").join(_few(home), "set", "left")
+        outer = rooted.join(open_.select("h"), "h", "left_semi").join(_few(home.select("set", "home")), "set", "left")
         other, bucket = F.coalesce("home", "set"), Window.partitionBy("h")
-        outer = outer.withColumns({"x": F.min(other).over(bucket), "y": F.max(other).over(bucket)}).where("x < y").withColumn("kind", F.lit(0))
-        apart = apart.join(still.select("h"), "h", "left_semi").withColumns({"home": F.lit(None).cast("long"), "kind": F.lit(1)})
-        columns = ["h", "set", "rest", "bar", "root", "home", "kind"]
+        outer = outer.withColumns({"x": F.min(other).over(bucket), "y": F.max(other).over(bucket)}).where("x < y").withColumns({"kind": F.lit(0), "bits": F.array().cast("array<long>")})
+        apart = apart.join(still.select("h"), "h", "left_semi").join(_few(home.select("set", "bits")), "set").withColumns({"home": F.lit(None).cast("long"), "kind": F.lit(1)})
+        columns = ["h", "set", "rest", "bar", "root", "home", "kind", "bits"]
         left = outer.select(columns).unionByName(apart.select(columns))
     # pairs aren't made where counts rule them out, nor in a bucket after one that both sets are in (the last EARLIER of a set are known)
     left = checkpoint(left)
@@ -297,7 +303,9 @@ def roots(index: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame,
     left = checkpoint(left.withColumn("earlier", before).join(counts, "set"))
     release(docs.sparkSession)
     ordered = (F.struct("r.bar", "r.set") < F.struct("l.bar", "l.set")) & F.coalesce(F.col("l.home") != F.col("r.home"), F.lit(True))
-    pairs = left.alias("l").join(left.where(_smaller()).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r") & ~F.arrays_overlap("l.earlier", "r.earlier") & _alike("l.counts", "r.counts", "l.n", "r.n", least)).select(*_edge("l", "r")).distinct()
+    odd = F.aggregate(F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    alike = (odd <= (1 - least) / (1 + least) * (F.col("l.n") + F.col("r.n")) + 1e-9) & _alike("l.counts", "r.counts", "l.n", "r.n", least)
+    pairs = left.alias("l").join(left.where(_smaller()).alias("r"), "h").where(ordered & (F.col("l.root") != F.col("r.root")) & _meet("l", "r") & ~F.arrays_overlap("l.earlier", "r.earlier") & alike).select(*_edge("l", "r")).distinct()
     pairs = checkpoint(pairs)
     release(docs.sparkSession)
     new = checkpoint(_near(pairs, found, docs, width, least, True))
